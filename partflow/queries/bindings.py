@@ -201,8 +201,8 @@ CTES = {
     "routes": "SELECT p.Id, coalesce(string_agg('L' || line || '_S' || station, '-' ORDER BY line, station), '') AS route "
               "FROM parts p LEFT JOIN visits v ON v.Id = p.Id GROUP BY p.Id",
     "decisions": "SELECT user_id AS part_id, CASE event_type WHEN 'purchase' THEN 'ship' WHEN 'error' THEN 'scrap' ELSE 'senior_review' END "
-                 "AS action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type IN ('purchase', 'error', 'view')",
-    "traces": "SELECT 'agent' || (user_id % 20) || '-' || strftime(ts, '%Y%m%d') || 'T000000Z' AS log, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, "
+                 "AS action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM events WHERE event_type IN ('purchase', 'error', 'view')",
+    "traces": "SELECT 'agent' || (user_id % 20) || '-' || strftime(ts, '%Y%m%d') || 'T000000Z' AS log, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\", "
               "event_id AS pos, CASE event_type WHEN 'signup' THEN 'agent_start' WHEN 'view' THEN 'model_turn' WHEN 'click' THEN 'tool_result' "
               "WHEN 'purchase' THEN 'disposition_outcome' ELSE CASE event_id % 3 WHEN 0 THEN 'search_summary' WHEN 1 THEN 'agent_end' "
               "ELSE 'budget_stop' END END AS event, "
@@ -212,7 +212,7 @@ CTES = {
               "value / 1000 AS lift, value / 5000 AS shuffled_lift FROM events",
     "reviews": "SELECT 'f_' || user_id AS feature_id, 'feature_' || user_id AS name, CASE WHEN event_type = 'click' OR user_id % 9 = 0 "
                "THEN 'hypothesis' ELSE 'warden' END AS actor, CASE WHEN event_type = 'error' AND event_id % 97 = 0 THEN 'quarantined' "
-               "WHEN event_type = 'signup' THEN 'proposed' ELSE 'approved' END AS status, props AS finding, ts AS at FROM events",
+               "WHEN event_type = 'signup' THEN 'proposed' ELSE 'approved' END AS status, props AS finding, ts AS \"at\" FROM events",
     "evals": "SELECT user_id AS search, event_id AS seq, round(value / 1000, 6) AS mcc, round(value / 2000 + 0.01, 6) AS ap FROM events",
     "reference": "SELECT user_id AS search, round(min(value) / 1000 + 0.02, 6) AS mcc, round(min(value) / 2000 + 0.01, 6) AS ap, "
                  "CAST(0.001 AS DOUBLE) AS sd_mcc, CAST(0.0005 AS DOUBLE) AS sd_ap FROM events GROUP BY user_id",
