@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partflow.functions.scoring import squared_distance
@@ -26,7 +26,7 @@ from partflow.session import materialized
 
 PAGE_ROWS = 256
 _CURVE_DIMS, _CURVE_BITS = 4, 7
-_SLACK = 1.0 + 1e-9  # bounds are widened by this much so that rounding can never drop a neighbour
+_TIE_DIGITS = 9  # distances equal to this many decimals are ties, decided by id
 
 
 def column_moments(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,6 +68,12 @@ def _box_gap(dims: int) -> Column:
     return total
 
 
+def _widened(d2: Column) -> Column:
+    """A squared bound a little above d2, so that neither rounding nor a tie can drop a neighbour."""
+    reach = F.sqrt(d2) * (1.0 + 1e-9) + 2.0 * 10.0 ** -_TIE_DIGITS
+    return reach * reach
+
+
 def _paged(train: DataFrame, dims: int, page_rows: int) -> DataFrame:
     """Train parts with their page: runs of page_rows to 2*page_rows - 1 parts along the curve of their group."""
     sizes = train.groupBy("grp").agg(F.count(F.lit(1)).alias("__size"))
@@ -119,7 +125,7 @@ def _search(queue: DataFrame, train: DataFrame, dims: int, k: int, page_rows: in
     gap = "+".join(f"(p[{i}] - z{i}) * (p[{i}] - z{i})" for i in range(dims))
     kth = F.expr(f"try_element_at(array_sort(transform(points, p -> {gap})), {k})")
     bounded = here.join(points, ["grp", "at"]).select(
-        "qid", "grp", *zs, (F.coalesce(kth, F.lit(float("inf"))) * _SLACK + 1e-12).alias("bound"))
+        "qid", "grp", *zs, _widened(F.coalesce(kth, F.lit(float("inf")))).alias("bound"))
     bounded = materialized(bounded)
 
     frontier = bounded.withColumn("at", F.lit(0).cast("long"))
@@ -135,8 +141,7 @@ def _search(queue: DataFrame, train: DataFrame, dims: int, k: int, page_rows: in
 
 def k_nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k closest per queued part, ties by id. Spark limits each group to k rows before the shuffle."""
-    from pyspark.sql import Window
-    order = Window.partitionBy("qid").orderBy("d2", "id")
+    order = Window.partitionBy("qid").orderBy(F.round(F.sqrt("d2"), _TIE_DIGITS), "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from partflow.operators.cost import CostParameters
 from partflow.operators.splits import assign_splits, split_view, start_times
 from partflow.operators.stations import build_features
+from partflow.session import materialized
 
 STATIONS = tuple(range(1, 8))
 KINDS = ("numeric", "date", "categorical")
 
 # an interior optimum on these scores: field failures cost little more than an inspection of several parts
-COSTS = CostParameters(42.0, 60.0, 6.5, 240_000, 90, 150.0)
-NEW_COSTS = CostParameters(42.0, 95.0, 6.5, 240_000, 90, 400.0)
+COSTS = CostParameters(42.0, 60.0, 6.5, 240_000, 90, 1500.0)
+NEW_COSTS = CostParameters(42.0, 95.0, 6.5, 240_000, 90, 2500.0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +88,17 @@ def splits(spark: SparkSession, folder: str) -> DataFrame:
     return assign_splits(start_times(dates(spark, folder)))
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
+def split_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The split assignment as later steps meet it: a table fixed once, not recomputed by each of them."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialized(splits(spark, folder))
+    return _WRITTEN[key]
+
+
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     bad = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
@@ -97,7 +109,7 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_scores(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ids = splits(spark, folder).where(F.col("split") == name).select(F.col("Id").alias("id"))
+    ids = split_table(spark, folder).where(F.col("split") == name).select(F.col("Id").alias("id"))
     return scores(spark, folder).join(ids, "id", "left_semi")
 
 
@@ -107,7 +119,7 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_tables(spark: SparkSession, folder: str, name: str) -> dict[str, DataFrame]:
-    assigned = splits(spark, folder)
+    assigned = split_table(spark, folder)
     return {k: split_view(t, assigned, name) for k, t in wide(spark, folder).items()}
 
 

@@ -19,7 +19,7 @@ CURVE = b.with_ctes("scores", "SELECT threshold, tp, fp, tn, fn, mcc, dollars_pe
 ROUTE = "CASE WHEN p >= band_high THEN 'inspect' WHEN p >= band_low THEN 'review' ELSE 'ship' END"
 DIGEST = (f"digest AS (SELECT sha256(count(*) || '|' || bit_xor(h) || '|' || CAST(sum(h % 2147483648) AS BIGINT)) AS d FROM (SELECT {hash_sql('id', 'y', 'p')} AS h FROM scores))")
 COST_JSON = ('{"scrap_cost_usd":42.0,"field_failure_cost_usd":60.0,"inspection_cost_usd":6.5,"monthly_volume":240000,'
-             '"shifts_per_month":90,"abstain_band_indifference_usd":150.0}')
+             '"shifts_per_month":90,"abstain_band_indifference_usd":1500.0}')
 
 
 def policy(spark, folder):
@@ -68,7 +68,7 @@ def compare_sql() -> str:
     extra = ", ".join([policy_sql(b.COSTS, "scores", "a"), policy_sql(b.NEW_COSTS, "scores", "b"), side("a", b.COSTS), side("b", b.NEW_COSTS)])
     return b.with_ctes("scores", "SELECT 'curve' AS section, item, x.value AS old_value, y.value AS new_value, y.value - x.value AS delta FROM am x JOIN bm y USING (item) "
                                  "UNION ALL SELECT 'parameter', 'field_failure_cost_usd', 60.0::DOUBLE, 95.0::DOUBLE, 35.0::DOUBLE "
-                                 "UNION ALL SELECT 'parameter', 'abstain_band_indifference_usd', 150.0::DOUBLE, 400.0::DOUBLE, 250.0::DOUBLE", extra)
+                                 "UNION ALL SELECT 'parameter', 'abstain_band_indifference_usd', 1500.0::DOUBLE, 2500.0::DOUBLE, 1000.0::DOUBLE", extra)
 
 
 QUERIES = [

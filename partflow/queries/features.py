@@ -92,22 +92,22 @@ def routes(spark, folder):
 
 
 def train_routes(spark, folder):
-    return split_view(routes(spark, folder), b.splits(spark, folder), "train")
+    return split_view(routes(spark, folder), b.split_table(spark, folder), "train")
 
 
 def p15(spark, folder):
     long = number_long(spark, folder)
-    train = long.join(in_split(b.splits(spark, folder), "train").select("Id"), "Id", "left_semi")
+    train = long.join(in_split(b.split_table(spark, folder), "train").select("Id"), "Id", "left_semi")
     return st.out_of_range_count(long, normal_ranges(train, exact=True))
 
 
 def a5(spark, folder):
-    train = split_view(b.categorical(spark, folder), b.splits(spark, folder), "train")
+    train = split_view(b.categorical(spark, folder), b.split_table(spark, folder), "train")
     return en.select_categorical(train, 100)
 
 
 def a5_three(spark, folder):
-    train = split_view(b.categorical(spark, folder), b.splits(spark, folder), "train")
+    train = split_view(b.categorical(spark, folder), b.split_table(spark, folder), "train")
     return en.select_categorical(train, 100, min_distinct=4)
 
 
@@ -119,7 +119,7 @@ def j3(spark, folder):
 def g7(spark, folder):
     """A text column and a numeric one, codes fitted on train and applied to validation."""
     t = routes(spark, folder).join(b.dates(spark, folder).select("Id", F.col("L0_S1_D1").alias("when")), "Id").drop("Response")
-    s = b.splits(spark, folder)
+    s = b.split_table(spark, folder)
     _, (valid,) = en.encode(split_view(t, s, "train"), [split_view(t, s, "validation")], 50)
     return valid.select("Id", F.col("route").cast("long").alias("route"), F.col("when").cast("double").alias("when"))
 

@@ -21,7 +21,7 @@ def starts(spark, folder):
 
 
 def fingerprints(spark, folder):
-    assigned = b.splits(spark, folder)
+    assigned = b.split_table(spark, folder)
     one, two, three = (split_fingerprint(assigned, name) for name in sp.SPLITS)
     return one.unionByName(two).unionByName(three)
 
@@ -64,19 +64,19 @@ def quantiles_by(spark, folder):
 
 
 def t2(spark, folder):
-    assigned = b.splits(spark, folder)
+    assigned = b.split_table(spark, folder)
     exposed = assigned.where(F.col("split") != "holdout")
     return sp.disjoint(exposed, sp.in_split(assigned, "holdout"))
 
 
 def j12(spark, folder):
     """Orders with a first reading late in the data, audited against the holdout."""
-    late = b.splits(spark, folder).where(F.col("min_ts") > 2000)
-    return sp.holdout_audit(late, b.splits(spark, folder))
+    late = b.split_table(spark, folder).where(F.col("min_ts") > 2000)
+    return sp.holdout_audit(late, b.split_table(spark, folder))
 
 
 def t1(spark, folder):
-    assigned = b.splits(spark, folder)
+    assigned = b.split_table(spark, folder)
     evaluated = b.scores(spark, folder).where("p >= 0.5").select(F.col("id").alias("Id"))
     return sp.intersect_ids(evaluated, sp.in_split(assigned, "holdout"))
 
@@ -96,26 +96,26 @@ QUERIES = [
           b.with_ctes("splits", "SELECT n.split, count(s.Id) AS parts, count(s.Id) FILTER (s.min_ts IS NULL) AS undated, "
                                 "CASE WHEN count(s.Id) = 0 THEN 'empty' ELSE 'ok' END AS verdict FROM (VALUES ('train'), ('validation'), ('holdout')) n(split) "
                                 "LEFT JOIN splits s ON s.split = n.split GROUP BY n.split")),
-    Query("F1_in_split", lambda s, d: sp.in_split(b.splits(s, d), "validation"), b.with_ctes("splits", "SELECT * FROM splits WHERE split = 'validation'")),
+    Query("F1_in_split", lambda s, d: sp.in_split(b.split_table(s, d), "validation"), b.with_ctes("splits", "SELECT * FROM splits WHERE split = 'validation'")),
     Query("F5_point_lookup", lambda s, d: b.table(s, d, "orders").transform(lambda o: sp.point_lookup(o.withColumnRenamed("o_orderkey", "Id"), 77)).select("Id", "o_custkey", "o_totalprice"),
           "SELECT o_orderkey AS Id, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77"),
     Query("F6_seeded_subset", lambda s, d: b.parts(s, d).where(seeded_below(F.col("Id"), 17, 0.5)).select("Id"),
           b.with_ctes("parts", f"SELECT Id FROM parts WHERE {SUBSET}")),
     Query("F7_seeded_holdback", lambda s, d: b.parts(s, d).withColumn("fit", seeded_below(F.col("Id"), 18, 0.8)).select("Id", "fit"),
           b.with_ctes("parts", f"SELECT Id, {hash_sql('Id', '18')} % 1000 < 800 AS fit FROM parts")),
-    Query("J1_split_view", lambda s, d: sp.split_view(b.numeric(s, d), b.splits(s, d), "validation"),
+    Query("J1_split_view", lambda s, d: sp.split_view(b.numeric(s, d), b.split_table(s, d), "validation"),
           b.with_ctes("num splits", "SELECT * FROM num WHERE Id IN (SELECT Id FROM splits WHERE split = 'validation')")),
-    Query("J4_bind_ids", lambda s, d: bind_ids(sp.split_view(b.numeric(s, d), b.splits(s, d), "train"), id_map(sp.in_split(b.splits(s, d), "train"), "shuffled")),
+    Query("J4_bind_ids", lambda s, d: bind_ids(sp.split_view(b.numeric(s, d), b.split_table(s, d), "train"), id_map(sp.in_split(b.split_table(s, d), "train"), "shuffled")),
           b.with_ctes("num splits", "SELECT m.bound_id AS Id, num.* EXCLUDE (Id, Response) FROM num JOIN m USING (Id)", f"{IDS}, {SHUFFLED}")),
     Query("J5_zip_by_rank", j5,
           "SELECT a.Id, p.by_price FROM (SELECT o_orderkey AS Id, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) a JOIN "
           "(SELECT o_orderkey AS by_price, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders) p USING (r)"),
     Query("J12_holdout_audit", j12,
           b.with_ctes("splits", "SELECT count(*) AS holdout_ids_referenced FROM splits WHERE min_ts > 2000 AND split = 'holdout'")),
-    Query("L1_id_map_shuffled", lambda s, d: id_map(sp.in_split(b.splits(s, d), "train"), "shuffled"), b.with_ctes("splits", "SELECT Id, bound_id FROM m", f"{IDS}, {SHUFFLED}")),
-    Query("L1_id_map_subset", lambda s, d: id_map(sp.in_split(b.splits(s, d), "train"), "subset"), b.with_ctes("splits", f"SELECT Id, Id AS bound_id FROM ids WHERE {SUBSET}", IDS)),
+    Query("L1_id_map_shuffled", lambda s, d: id_map(sp.in_split(b.split_table(s, d), "train"), "shuffled"), b.with_ctes("splits", "SELECT Id, bound_id FROM m", f"{IDS}, {SHUFFLED}")),
+    Query("L1_id_map_subset", lambda s, d: id_map(sp.in_split(b.split_table(s, d), "train"), "subset"), b.with_ctes("splits", f"SELECT Id, Id AS bound_id FROM ids WHERE {SUBSET}", IDS)),
     Query("O1_by_id", lambda s, d: sp.by_id(b.parts(s, d)), b.with_ctes("parts", "SELECT * FROM parts ORDER BY Id")),
-    Query("O2_by_split", lambda s, d: sp.by_split(b.splits(s, d).select("Id", "split")), b.with_ctes("splits", "SELECT Id, split FROM splits ORDER BY split, Id")),
+    Query("O2_by_split", lambda s, d: sp.by_split(b.split_table(s, d).select("Id", "split")), b.with_ctes("splits", "SELECT Id, split FROM splits ORDER BY split, Id")),
     Query("O6_first_rows", lambda s, d: sp.first_rows(sp.by_id(b.parts(s, d)), 100), b.with_ctes("parts", "SELECT * FROM parts ORDER BY Id LIMIT 100")),
     Query("S13_split_fingerprint", fingerprints,
           b.with_ctes("splits", "SELECT split, rows, xor_hash, sum_hash, sha256(rows || '|' || xor_hash || '|' || sum_hash) AS digest FROM ("
