@@ -24,7 +24,7 @@ from partflow.functions.scoring import squared_distance
 from partflow.operators.ranking import row_numbers
 from partflow.session import materialized
 
-PAGE_ROWS = 256
+PAGE_ROWS = 64
 _CURVE_DIMS, _CURVE_BITS = 4, 7
 _TIE_DIGITS = 9  # distances equal to this many decimals are ties, decided by id
 
@@ -106,7 +106,7 @@ def _levels(paged: DataFrame, dims: int, fanout: int) -> list[DataFrame]:
 def _search(queue: DataFrame, train: DataFrame, dims: int, k: int, page_rows: int) -> DataFrame:
     """Pairs (qid, id, y, d2) with d2 within the proven bound; both sides carry grp and z0..zn."""
     zs = [f"z{i}" for i in range(dims)]
-    page_rows = max(page_rows, k)
+    page_rows = max(page_rows, 2 * k)
     paged = materialized(_paged(train, dims, page_rows))
     levels = _levels(paged, dims, page_rows)
 

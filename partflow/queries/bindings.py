@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partflow.operators.cost import CostParameters
 from partflow.operators.splits import assign_splits, split_view, start_times
 from partflow.operators.stations import build_features
-from partflow.session import materialized
+from partflow.session import scratch_path
 
 STATIONS = tuple(range(1, 8))
 KINDS = ("numeric", "date", "categorical")
@@ -22,8 +22,15 @@ COSTS = CostParameters(42.0, 60.0, 6.5, 240_000, 90, 1500.0)
 NEW_COSTS = CostParameters(42.0, 95.0, 6.5, 240_000, 90, 2500.0)
 
 
+_READ: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One scan definition per table and session: the footer is read for its schema once. No rows are cached."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(f"{folder}/{name}.parquet")
+    return _READ[key]
 
 
 def station(s: int) -> str:
@@ -56,19 +63,19 @@ def _wide(spark: SparkSession, folder: str, columns: dict) -> DataFrame:
     return readings
 
 
-def numeric(spark: SparkSession, folder: str) -> DataFrame:
+def _numeric(spark: SparkSession, folder: str) -> DataFrame:
     value = {1: F.col("l_quantity"), 2: F.col("l_extendedprice"), 3: F.nullif(F.col("l_discount"), F.lit(0.0))}
     columns = {f"{station(s)}_F{n}": (s, F.max, value[n]) for s in STATIONS for n in ((1, 2, 3) if s < 7 else (1,))}
     return parts(spark, folder).join(_wide(spark, folder, columns), "Id", "left")
 
 
-def dates(spark: SparkSession, folder: str) -> DataFrame:
+def _dates(spark: SparkSession, folder: str) -> DataFrame:
     day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("double")
     columns = {f"{station(s)}_D{n}": (s, fn, day) for s in STATIONS for n, fn in ((1, F.min), (2, F.max))}
     return parts(spark, folder).select("Id").join(_wide(spark, folder, columns), "Id", "left")
 
 
-def categorical(spark: SparkSession, folder: str) -> DataFrame:
+def _categorical(spark: SparkSession, folder: str) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
     supplier = F.when(F.col("l_linestatus") == "F", F.col("l_suppkey") % 5)
     columns = {}
@@ -80,23 +87,45 @@ def categorical(spark: SparkSession, folder: str) -> DataFrame:
     return parts(spark, folder).select("Id").join(named, "Id", "left")
 
 
-def wide(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {"numeric": numeric(spark, folder), "date": dates(spark, folder), "categorical": categorical(spark, folder)}
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def splits(spark: SparkSession, folder: str) -> DataFrame:
-    return assign_splits(start_times(dates(spark, folder)))
+def written(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A derived table as later steps meet it: whole, written once per session as Parquet, then scanned."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, name)
+        build(spark, folder).write.option("compression", "zstd").parquet(path)
+        _WRITTEN[key] = spark.read.parquet(path)
+    return _WRITTEN[key]
+
+
+def numeric(spark: SparkSession, folder: str) -> DataFrame:
+    return written(spark, folder, "numeric", _numeric)
+
+
+def dates(spark: SparkSession, folder: str) -> DataFrame:
+    return written(spark, folder, "date", _dates)
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+def categorical(spark: SparkSession, folder: str) -> DataFrame:
+    return written(spark, folder, "categorical", _categorical)
 
 
 def split_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The split assignment as later steps meet it: a table fixed once, not recomputed by each of them."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = materialized(splits(spark, folder))
-    return _WRITTEN[key]
+    return written(spark, folder, "splits", splits)
+
+
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    return written(spark, folder, "features", features)
+
+
+def wide(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {"numeric": numeric(spark, folder), "date": dates(spark, folder), "categorical": categorical(spark, folder)}
+
+
+def splits(spark: SparkSession, folder: str) -> DataFrame:
+    return assign_splits(start_times(dates(spark, folder)))
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:

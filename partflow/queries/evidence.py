@@ -40,7 +40,7 @@ def written(spark, folder):
 
 
 def evidence(spark, folder):
-    f = b.features(spark, folder).select("Id", "route")
+    f = b.feature_table(spark, folder).select("Id", "route")
     return ev.part_evidence(queue(spark, folder), measurements_long(b.numeric(spark, folder), "numeric"),
                             measurements_long(b.dates(spark, folder), "date"), f,
                             ev.normal_ranges(train_long(spark, folder), exact=True), policy(spark, folder))
@@ -93,11 +93,11 @@ def j11(spark, folder):
 
 
 def near_features(spark, folder):
-    return b.features(spark, folder).select("Id", "Response", "route", *NEAR)
+    return b.feature_table(spark, folder).select("Id", "Response", "route", *NEAR)
 
 
 def matches(spark, folder, page_rows=nb.PAGE_ROWS):
-    f, s = near_features(spark, folder), b.split_table(spark, folder)
+    f, s = materialized(near_features(spark, folder)), b.split_table(spark, folder)
     train = split_view(f, s, "train").select(F.col("Id").alias("id"), F.col("Response").alias("y"), "route", *NEAR)
     parts = f.join(queue(spark, folder).select(F.col("part_id").alias("Id")), "Id", "left_semi").withColumnRenamed("Id", "part_id")
     return nb.knn_join(parts, train, NEAR, K, page_rows)
