@@ -65,15 +65,16 @@ def confusion_at(sweep: DataFrame, threshold: float | Column, by: Sequence[str]
     """Sweep row nearest to a threshold; the lower one on ties."""
     target = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     row = F.struct("threshold", *COUNTS, "mcc")
-    near = F.min_by(row, F.struct(F.abs(F.col("threshold") - target), F.col("threshold")))
-    return sweep.groupBy(*by).agg(near.alias("b")).select(*by, "b.*")
+    near = F.min_by(row, F.struct("__gap", "threshold"))
+    return sweep.withColumn("__gap", F.abs(F.col("threshold") - target)).groupBy(*by).agg(near.alias("b")).select(*by, "b.*")
 
 
 def counts_at(scores: DataFrame, threshold: float | Column, by: Sequence[str] = ()) -> DataFrame:
     """Exact confusion matrix at one threshold: a single partial aggregation."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    bad, flagged = F.col("y") == 1, F.col("p") >= t
-    return scores.groupBy(*by).agg(F.count_if(bad & flagged).alias("tp"), F.count_if(~bad & flagged).alias("fp"),
+    bad, flagged = F.col("bad"), F.col("flagged")
+    marked = scores.select(*by, (F.col("y") == 1).alias("bad"), (F.col("p") >= t).alias("flagged"))
+    return marked.groupBy(*by).agg(F.count_if(bad & flagged).alias("tp"), F.count_if(~bad & flagged).alias("fp"),
                                    F.count_if(~bad & ~flagged).alias("tn"), F.count_if(bad & ~flagged).alias("fn"))
 
 
