@@ -145,33 +145,47 @@ def k_nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _thinned(train: DataFrame, dims: int, k: int) -> DataFrame:
+    """At most k parts per distinct point of a group, lowest ids first: no answer can hold more of them.
+
+    A third of all parts may be identical. Spark limits each point to k rows before the shuffle, so such a point
+    costs k rows per task, and a search near it meets k parts instead of all of them.
+    """
+    order = Window.partitionBy("grp", *[f"z{i}" for i in range(dims)]).orderBy("id")
+    return train.withColumn("__copy", F.row_number().over(order)).where(F.col("__copy") <= k).drop("__copy")
+
+
+def _nearest_in(queue: DataFrame, train: DataFrame, dims: int, k: int, page_rows: int) -> DataFrame:
+    """(qid, id, y, d2, rank) for a queue whose candidates share its grp. Equal queued points search once."""
+    point = ["grp", *[f"z{i}" for i in range(dims)]]
+    first = materialized(queue.groupBy(*point).agg(F.min("qid").alias("qid")))
+    found = k_nearest(_search(first, _thinned(train, dims, k), dims, k, page_rows), k).withColumnRenamed("qid", "rep")
+    members = queue.select("qid", *point).join(first.withColumnRenamed("qid", "rep"), point).select("qid", "rep")
+    return members.join(found, "rep").drop("rep")
+
+
 def knn_join(queue: DataFrame, train: DataFrame, columns: Sequence[str], k: int = 20,
              page_rows: int = PAGE_ROWS) -> DataFrame:
     """(part_id, neighbour_id, response, distance, rank, same_route) for every queued part.
 
     queue(part_id, route, columns...), train(id, y, route, columns...).
     """
+    dims, zs = len(columns), [f"z{i}" for i in range(len(columns))]
     moments = column_moments(train, columns)
+    t = materialized(standardize(train, moments, columns, ["id", "y", "route"]))
     q = standardize(queue, moments, columns, ["part_id", "route"]).withColumnRenamed("part_id", "qid")
-    t = standardize(train, moments, columns, ["id", "y", "route"])
-    q, t = materialized(q), materialized(t)
     sizes = t.groupBy("route").agg(F.count(F.lit(1)).alias("route_parts"))
     total = t.agg(F.count(F.lit(1)).alias("n")).scalar()
-    placed = materialized(
-        q.join(sizes, "route", "left").withColumn("route_parts", F.coalesce("route_parts", F.lit(0)))
-        .withColumn("own", F.col("route_parts") >= k)
-        .withColumn("same_route", F.col("own") & (F.col("route_parts") < total)))
-    dims = len(columns)
-    own = _search(placed.where("own").drop("own", "route_parts", "same_route").withColumnRenamed("route", "grp"),
-                  t.withColumnRenamed("route", "grp"), dims, k, page_rows)
-    rest = placed.where(~F.col("own"))
-    pairs = own
+    route_parts = F.coalesce("route_parts", F.lit(0))
+    placed = materialized(q.join(sizes, "route", "left").select(
+        "qid", "route", *zs, (route_parts >= k).alias("own"), ((route_parts >= k) & (route_parts < total)).alias("same_route")))
+    nearest = _nearest_in(placed.where("own").select("qid", F.col("route").alias("grp"), *zs),
+                          t.withColumnRenamed("route", "grp"), dims, k, page_rows)
+    rest = placed.where(~F.col("own")).select("qid", F.lit("*").alias("grp"), *zs)
     if not rest.isEmpty():
-        everywhere = _search(rest.drop("own", "route_parts", "same_route", "route").withColumn("grp", F.lit("*")),
-                             t.drop("route").withColumn("grp", F.lit("*")), dims, k, page_rows)
-        pairs = own.unionByName(everywhere)
-    flags = placed.select("qid", "same_route")
-    return (k_nearest(pairs, k).join(flags, "qid")
+        everywhere = t.drop("route").withColumn("grp", F.lit("*"))
+        nearest = nearest.unionByName(_nearest_in(rest, everywhere, dims, k, page_rows))
+    return (nearest.join(placed.select("qid", "same_route"), "qid")
             .select(F.col("qid").alias("part_id"), F.col("id").alias("neighbour_id"), F.col("y").cast("int").alias("response"),
                     F.round(F.sqrt("d2"), 4).alias("distance"), F.col("rank").cast("int").alias("rank"), "same_route"))
 

@@ -33,9 +33,21 @@ def write_measurements(df: DataFrame, path: str, kind: str, block_bytes: int = 3
      .option("maxRecordsPerFile", ROWS_PER_GROUP[kind] * 20).parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
     """Bucketed and sorted by part, so the per-part joins of the three kinds need no shuffle."""
-    df.write.mode("errorifexists").bucketBy(buckets, ID).sortBy(ID).format("parquet").saveAsTable(table)
+    (df.repartition(buckets, ID).write.mode("errorifexists").option("path", path).option("compression", "zstd")
+     .bucketBy(buckets, ID).sortBy(ID).format("parquet").saveAsTable(table))
+
+
+def write_by_split(df: DataFrame, splits: DataFrame, path: str) -> None:
+    """One folder per split. Rows spread over tasks by part first, so a large split is written by many of them."""
+    (df.join(splits.select(ID, "split"), ID).write.mode("errorifexists").option("compression", "zstd")
+     .partitionBy("split").parquet(path))
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """A split of a table written by write_by_split: partition pruning instead of a semi join."""
+    return spark.read.parquet(path).where(F.col("split") == split).drop("split")
 
 
 def reconcile_rows(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:

@@ -90,3 +90,27 @@ def test_labels_append_and_filter(spark, folder):
     rows = lg.read_jsonl_log(spark, path, lg.DECISION_SCHEMA)
     assert {(r.action, r.label) for r in rows.collect()} == {("ship", 0), ("scrap", 1), ("senior_review", None)}
     assert lg.labelled_only(rows).count() == 2
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tables, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kind in ("numeric", "date"):
+            ms.write_bucketed(tables[kind], f"bucketed_{kind}", os.path.join(folder, kind), 4)
+        joined = spark.table("bucketed_numeric").join(spark.table("bucketed_date"), "Id")
+        assert joined.count() == 4
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for kind in ("numeric", "date"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{kind}")
+
+
+def test_split_folders_are_pruned(spark, tables, folder):
+    splits = spark.createDataFrame([(1, "train"), (2, "train"), (3, "validation"), (4, "holdout")], "Id long, split string")
+    path = os.path.join(folder, "by_split")
+    ms.write_by_split(tables["date"], splits, path)
+    train = ms.read_split(spark, path, "train")
+    assert sorted(train.collect()) == sorted(tables["date"].where("Id <= 2").collect())
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "Join" not in plan

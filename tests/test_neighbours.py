@@ -74,3 +74,11 @@ def test_join_has_no_cartesian_step(spark):
     q = spark.createDataFrame([(50, "x", 0.0, 0.0, 0.0)], "part_id long, route string, a double, b double, c double")
     plan = nb.knn_join(q, t, DIMS, 4)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_are_cut_before_the_search(spark):
+    rows = [(i, 0, "x", 1.0, 1.0) for i in range(500)] + [(1000 + i, 0, "x", float(i), 2.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, y int, grp string, z0 double, z1 double").repartition(4)
+    thin = nb._thinned(df, 2, 5)
+    assert sorted(r.id for r in thin.where("id < 1000").collect()) == [0, 1, 2, 3, 4] and thin.count() == 25
+    assert "WindowGroupLimit" in thin._jdf.queryExecution().executedPlan().toString()
