@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partflow.functions.scoring import close_to
+
 # The shape of a column token, the allowed recommendations, the text fields, the required fields.
 COLUMN_TOKEN = r"\bL[0-9]+_S[0-9]+_[FD][0-9]+\b"
 RECOMMENDATIONS = ("scrap", "ship", "senior_review")
@@ -40,11 +42,6 @@ def unknown_columns(dispositions: DataFrame, schema_columns: DataFrame) -> DataF
     return claims(dispositions).join(names, "column", "left_anti")
 
 
-def _close(a: Column, b: Column) -> Column:
-    near = F.abs(a - b) <= F.greatest(F.greatest(F.abs(a), F.abs(b)) * 1e-4, F.lit(1e-4))
-    return F.coalesce(near, F.lit(False))
-
-
 def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: DataFrame,
                           schema_columns: DataFrame) -> DataFrame:
     """(part_id, status, recommendation, errors) for every queued part.
@@ -84,7 +81,7 @@ def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: D
 
     def range_error(e: Column) -> Column:
         truth = F.try_element_at(F.filter("actual", lambda a: a["name"] == e["column"]), F.lit(1))
-        agrees = _close(e["value"], truth["value"]) & _close(e["low"], truth["low"]) & _close(e["high"], truth["high"])
+        agrees = F.coalesce(close_to(e["value"], truth["value"]) & close_to(e["low"], truth["low"]) & close_to(e["high"], truth["high"]), F.lit(False))
         name = F.coalesce(e["column"], F.lit("null"))
         return (F.when(truth.isNull(), F.concat(F.lit("out_of_range: "), name, F.lit(" is not out of range on this part")))
                 .when(~agrees, F.concat(F.lit("out_of_range: "), name, F.lit(" values do not match the part record"))))

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partflow.functions.scoring import in_band
 from partflow.operators import cost as c
 from partflow.plans.policy import decision_summary
 from partflow.queries import bindings as b
 from partflow.queries.registry import Query
-from partflow.queries.sqlparts import curve_sql, dollars_sql, hash_sql, mcc_sql, policy_sql, sweep_sql
-from partflow.functions.scoring import in_band
-from partflow.session import materialized
-from partflow.streaming.review import drain, route_stream
+from partflow.queries.sqlparts import curve_sql, dollars_sql, hash_sql, policy_sql
+from partflow.session import materialized, scratch_path
 from partflow.sources.tables import write_curve_csv, write_policy_json
-from partflow.session import scratch_path
+from partflow.streaming.review import drain, route_stream
 
 CURVE = b.with_ctes("scores", "SELECT threshold, tp, fp, tn, fn, mcc, dollars_per_shift FROM curve JOIN sweep USING (threshold, tp, fp, tn, fn)", curve_sql(b.COSTS))
 ROUTE = "CASE WHEN p >= band_high THEN 'inspect' WHEN p >= band_low THEN 'review' ELSE 'ship' END"
