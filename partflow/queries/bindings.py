@@ -17,9 +17,9 @@ from partflow.session import scratch_path
 STATIONS = tuple(range(1, 8))
 KINDS = ("numeric", "date", "categorical")
 
-# an interior optimum on these scores: field failures cost little more than an inspection of several parts
-COSTS = CostParameters(42.0, 60.0, 6.5, 240_000, 90, 1500.0)
-NEW_COSTS = CostParameters(42.0, 95.0, 6.5, 240_000, 90, 2500.0)
+# an interior optimum on these scores, with parts to ship, to review and to inspect
+COSTS = CostParameters(42.0, 120.0, 6.5, 240_000, 90, 500.0)
+NEW_COSTS = CostParameters(42.0, 200.0, 6.5, 240_000, 90, 900.0)
 
 
 _READ: dict[tuple[str, str, str], DataFrame] = {}

@@ -17,8 +17,8 @@ from partflow.streaming.review import drain, route_stream
 CURVE = b.with_ctes("scores", "SELECT threshold, tp, fp, tn, fn, mcc, dollars_per_shift FROM curve JOIN sweep USING (threshold, tp, fp, tn, fn)", curve_sql(b.COSTS))
 ROUTE = "CASE WHEN p >= band_high THEN 'inspect' WHEN p >= band_low THEN 'review' ELSE 'ship' END"
 DIGEST = (f"digest AS (SELECT sha256(count(*) || '|' || bit_xor(h) || '|' || CAST(sum(h % 2147483648) AS BIGINT)) AS d FROM (SELECT {hash_sql('id', 'y', 'p')} AS h FROM scores))")
-COST_JSON = ('{"scrap_cost_usd":42.0,"field_failure_cost_usd":60.0,"inspection_cost_usd":6.5,"monthly_volume":240000,'
-             '"shifts_per_month":90,"abstain_band_indifference_usd":1500.0}')
+COST_JSON = ('{"scrap_cost_usd":42.0,"field_failure_cost_usd":120.0,"inspection_cost_usd":6.5,"monthly_volume":240000,'
+             '"shifts_per_month":90,"abstain_band_indifference_usd":500.0}')
 
 
 def policy(spark, folder):
@@ -66,8 +66,8 @@ def compare_sql() -> str:
                 f"SELECT 'abstain_share', (SELECT CAST(count(*) FILTER (p >= band_low AND p < band_high) AS DOUBLE) / count(*) FROM scores, {prefix}policy) UNION ALL {snapshot})")
     extra = ", ".join([policy_sql(b.COSTS, "scores", "a"), policy_sql(b.NEW_COSTS, "scores", "b"), side("a", b.COSTS), side("b", b.NEW_COSTS)])
     return b.with_ctes("scores", "SELECT 'curve' AS section, item, x.value AS old_value, y.value AS new_value, y.value - x.value AS delta FROM am x JOIN bm y USING (item) "
-                                 "UNION ALL SELECT 'parameter', 'field_failure_cost_usd', 60.0::DOUBLE, 95.0::DOUBLE, 35.0::DOUBLE "
-                                 "UNION ALL SELECT 'parameter', 'abstain_band_indifference_usd', 1500.0::DOUBLE, 2500.0::DOUBLE, 1000.0::DOUBLE", extra)
+                                 "UNION ALL SELECT 'parameter', 'field_failure_cost_usd', 120.0::DOUBLE, 200.0::DOUBLE, 80.0::DOUBLE "
+                                 "UNION ALL SELECT 'parameter', 'abstain_band_indifference_usd', 500.0::DOUBLE, 900.0::DOUBLE, 400.0::DOUBLE", extra)
 
 
 QUERIES = [
@@ -110,6 +110,6 @@ QUERIES = [
           b.with_ctes("scores", "SELECT printf('%.3f', threshold) AS threshold, printf('%.2f', dollars_per_shift) AS dollars_per_shift, tp, fp, tn, fn FROM curve", curve_sql(b.COSTS))),
     Query("S12_write_policy_json", s12_json,
           b.with_ctes("scores", f"SELECT threshold, band_low, band_high, dollars_per_shift, CASE WHEN dollars_per_shift >= least({dollars_sql(b.COSTS, '0', '0', 'good', 'bad')}, "
-                                f"{dollars_sql(b.COSTS, 'bad', 'good', '0', '0')}) THEN 'rejected' ELSE 'accepted' END AS verdict, CAST(60 AS DOUBLE) AS field_failure_cost_usd "
+                                f"{dollars_sql(b.COSTS, 'bad', 'good', '0', '0')}) THEN 'rejected' ELSE 'accepted' END AS verdict, CAST(120 AS DOUBLE) AS field_failure_cost_usd "
                                 "FROM policy, (SELECT count(*) FILTER (y = 0) AS good, count(*) FILTER (y = 1) AS bad FROM scores) t", policy_sql(b.COSTS)), ["dollars_per_shift"]),
 ]

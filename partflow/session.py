@@ -19,6 +19,7 @@ def local_session(app: str = "partflow", cores: int | str = "*", memory: str = "
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go when nothing refers to them
         .config("spark.sql.codegen.maxFields", "400")  # station tables are wider than the default 100
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
