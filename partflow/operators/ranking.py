@@ -20,9 +20,9 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's position in its
 
 
 def _placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # without a fixed number AQE merges neighbouring ranges of a small table; their order stays, ids are given after
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return materialized(ranged.withColumn(_SEQ, F.monotonically_increasing_id())
                         .withColumn(_BLOCK, F.shiftright(F.col(_SEQ), _LOCAL_BITS).cast("int")))
 
