@@ -1,0 +1,61 @@
+"""Token ids of whole texts by units: the piece from one space to the next is encoded once and remembered."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import numpy as np
+
+CACHE_UNITS = 400_000  # remembered units; the table is emptied when it is full, so memory stays bounded
+_IRREGULAR = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")  # white space other than lone spaces and line feeds inside
+
+
+class UnitEncoder:
+    """Encodes texts by a pattern whose matches never run past a lone space or line feed between other characters.
+
+    Where single spaces and line feeds part a text, its units are encoded apart and remembered; any other text is encoded
+    in one call. Both give the ids of the whole text, as no match of the pattern crosses the cuts.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+        self.encode, self.head, self.tail = encode, {}, {}
+        self.feed = self._packed(encode(["\n"])[0])
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
+
+    def _learn(self, known: dict, units: set[str], prefix: str) -> None:
+        new = [u for u in units if u not in known]
+        for unit, ids in zip(new, self.encode([prefix + u for u in new]) if new else [], strict=True):
+            known[unit] = self._packed(ids)
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.head) + len(self.tail) > CACHE_UNITS:
+            self.head, self.tail = {}, {}
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif _IRREGULAR.search(text):
+                out.append(self._packed(self.encode([text])[0]))
+            else:
+                out.append(self.feed.join([self._line(line.split(" ")) for line in text.split("\n")]))
+        return out
+
+    def _line(self, units: list[str]) -> bytes:
+        first = self.head.get(units[0])
+        if first is None:
+            self._learn(self.head, {units[0]}, "")
+            first = self.head[units[0]]
+        if len(units) == 1:
+            return first
+        units[0] = units[1]  # joined below with the rest and cut off again
+        try:
+            rest = b"".join(map(self.tail.__getitem__, units))
+        except KeyError:
+            self._learn(self.tail, set(units), " ")
+            rest = b"".join(map(self.tail.__getitem__, units))
+        return first + rest[len(self.tail[units[0]]) :]
