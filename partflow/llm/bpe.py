@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from partflow.llm.units import UnitEncoder
-
-MAX_STATES = 200_000  # built states; all are forgotten when there are more
-ROOT, NONE = 0, -1
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 300_000, 250_000  # what a worker remembers; a full table is emptied and filled anew
+ROOT, NONE, NEVER = 0, -1, 1 << 40
+LOOKAHEAD = 256  # prefixes kept before it is worth looking for a place to emit
 DECODE_IDS = 1 << 16  # ids decoded at a time
 
 
@@ -23,15 +23,17 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Reads bytes, emits tokens once no later byte can change them.
+    """Reads bytes and tells for each the token that the encoding of the bytes so far ends in.
 
-    The encoding of every prefix ends in one token, which begins at a place where a shorter prefix ends. A state holds the
-    places from which some vocabulary entry may still grow (its trie node, and the tokens up to it that are not yet sure)
-    and the last sure token. Tokens shared by all places are emitted. States and moves are built when first met.
+    That token begins where a shorter prefix ends. A state holds the places from which some vocabulary entry may still grow:
+    the trie node reached from there, and the token that ends there. States and moves are built when first met. Tokens are
+    emitted, by stepping back from token to token, once a single place is left, which no later byte can change; how far
+    that lies ahead is bounded by the longest entry.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {r: b for b, r in ranks.items()}
+        self.size = {r: len(b) for b, r in ranks.items()}
         self.next: list[dict[int, int]] = [{}]
         self.token: list[int] = [NONE]
         for piece, rank in ranks.items():
@@ -50,8 +52,8 @@ class Transducer:
     def _forget(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state((NONE, ((ROOT, ()),)))
+        self.moves: list[dict[int, tuple[int, int]]] = []
+        self._state(((ROOT, NONE),))
 
     def _state(self, state: tuple) -> int:
         at = self.ids.setdefault(state, len(self.states))
@@ -60,86 +62,78 @@ class Transducer:
             self.moves.append({})
         return at
 
-    def merged(self, piece: bytes) -> tuple[list[int], tuple[int, int] | None]:
-        """Plain merging of one short piece: its tokens, and the two halves of the last merge."""
-        parts, last = [bytes([b]) for b in piece], None
-        while len(parts) > 1:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1)))
-            if best[0] == 1 << 40:
-                break
-            i = best[1]
-            last = (self.ranks[parts[i]], self.ranks[parts[i + 1]])
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts], last
-
     def split(self, token: int) -> tuple[int, int] | None:
-        """The halves a token was last merged from; nothing for a byte or a token that merging never makes."""
+        """The halves a token was last merged from; nothing for a byte or an entry that merging its bytes never makes."""
         if token not in self.halves:
-            tokens, last = self.merged(self.bytes_of[token])
-            self.halves[token] = last if len(tokens) == 1 else None
+            parts, last = [bytes([b]) for b in self.bytes_of[token]], None
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if rank == NEVER:
+                    break
+                last = (self.ranks[parts[i]], self.ranks[parts[i + 1]])
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.halves[token] = last if len(parts) == 1 else None
         return self.halves[token]
 
-    def made(self, token: int) -> bool:
-        return len(self.bytes_of[token]) == 1 or self.split(token) is not None
-
     def apart(self, left: int, right: int) -> bool:
-        """Whether merging keeps a border between two tokens: their merges are undone from the latest, and at each step
-        no merge over the border may come before the one undone last."""
+        """Whether merging keeps the border between two tokens. Their merges are undone from the latest; the border falls
+        if some pair over it would have merged before the merge that was undone last."""
         if (left, right) in self.fits:
             return self.fits[left, right]
-        l, r, limit, out = left, right, 1 << 40, True
-        while True:
-            over = self.ranks.get(self.bytes_of[l] + self.bytes_of[r])
-            if over is not None and over < limit:
-                out = False
+        a, b, limit, kept = left, right, NEVER, True
+        while kept:
+            kept = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], NEVER) >= limit
+            undo_a, undo_b = self.split(a), self.split(b)
+            if undo_a is None and undo_b is None:
                 break
-            a = self.split(l) if len(self.bytes_of[l]) > 1 else None
-            b = self.split(r) if len(self.bytes_of[r]) > 1 else None
-            if a is None and b is None:
-                break
-            if b is None or a is not None and l > r:
-                limit, l = l, a[1]  # a merge over the border of the same rank would have come after it, being further right
+            if undo_b is None or undo_a is not None and a > b:
+                limit, a = a, undo_a[1]  # of merges of one rank the left one comes first, here the one undone
             else:
-                limit, r = r + 1, b[0]  # and here before it, being further left
-        if len(self.fits) > 10 * MAX_STATES:
+                limit, b = b + 1, undo_b[0]  # and here the one over the border
+        if len(self.fits) >= MAX_PAIRS:
             self.fits.clear()
-        self.fits[left, right] = out
-        return out
+        self.fits[left, right] = kept
+        return kept
 
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, places = self.states[at]
-        grown, ended = [], None
-        for node, pending in places:
+    def _move(self, at: int, byte: int) -> tuple[int, int]:
+        grown, ended = [], NONE
+        for node, last in self.states[at]:
             node = self.next[node].get(byte)
             if node is None:
                 continue
-            if self.next[node]:
-                grown.append((node, pending))
             token = self.token[node]
-            if ended is None and token != NONE and self.made(token):
-                last = pending[-1] if pending else before
-                if last == NONE or self.apart(last, token):
-                    ended = (*pending, token)
+            if ended == NONE and token != NONE and (self.size[token] == 1 or self.split(token) is not None) and (last == NONE or self.apart(last, token)):
+                ended = token
+            if self.next[node]:
+                grown.append((node, last))
         grown.append((ROOT, ended))
-        shared = 0
-        shortest = min(len(p) for _, p in grown)
-        while shared < shortest and all(p[shared] == ended[shared] for _, p in grown):
-            shared += 1
-        sure = ended[:shared]
-        return self._state((sure[-1] if sure else before, tuple((n, p[shared:]) for n, p in grown))), sure
+        return self._state(tuple(grown)), ended
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one match of the pattern."""
         if len(self.states) > MAX_STATES:
             self._forget()
-        at, out = 0, []
+        moves, size, at = self.moves, self.size, 0
+        out: list[int] = []
+        ends: list[int] = []  # the last token of each prefix not yet emitted
+
+        def emit() -> None:
+            i, back = len(ends), []
+            while i:
+                back.append(ends[i - 1])
+                i -= size[ends[i - 1]]
+            out.extend(reversed(back))
+            ends.clear()
+
         for byte in piece:
-            move = self.moves[at].get(byte)
+            move = moves[at].get(byte)
             if move is None:
-                move = self.moves[at][byte] = self._move(at, byte)
-            at = move[0]
-            out.extend(move[1])
-        out.extend(self.states[at][1][-1][1])
+                move = moves[at][byte] = self._move(at, byte)
+            at, last = move
+            ends.append(last)
+            if len(ends) >= LOOKAHEAD and len(self.states[at]) == 1:
+                emit()
+        emit()
         return out
 
 
@@ -169,15 +163,31 @@ class Utf8Stream:
         return out
 
 
-_encoders: dict[tuple[int, str], UnitEncoder] = {}
+class PieceEncoder(dict):
+    """Packed ids of each match of the pattern met so far."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
+        self.machine, self.matches = Transducer(ranks), regex.compile(pattern)
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self[piece] = array("I", self.machine.encode(piece.encode())).tobytes()
+        return packed
+
+    def encoded(self, text: str | None) -> bytes:
+        if len(self) > MAX_PIECES:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.matches.findall(text))) if text else b""
+
+
+_encoders: dict[tuple[int, str], PieceEncoder] = {}
 
 
-def _encoder(content: bytes, pattern: str) -> UnitEncoder:
+def _encoder(content: bytes, pattern: str) -> PieceEncoder:
     """One encoder a Python worker, kept between tasks."""
     key = (hash(content), pattern)
     if key not in _encoders:
-        machine, matches = Transducer(parse_ranks(content)), regex.compile(pattern)
-        _encoders[key] = UnitEncoder(lambda texts: [[t for m in matches.findall(x) for t in machine.encode(m.encode())] for x in texts])
+        _encoders[key] = PieceEncoder(parse_ranks(content), pattern)
     return _encoders[key]
 
 
@@ -191,7 +201,8 @@ def encode_bpe(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _encoder(content.value, pattern).encoded(batch.column("text").to_pylist())
+            encoder = _encoder(content.value, pattern)
+            ids = [encoder.encoded(text) for text in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")

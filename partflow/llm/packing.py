@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from partflow.llm.units import UnitEncoder
+from partflow.llm.bpe import parse_ranks
 
 LENGTH, OPEN_BINS, END_ID = 1024, 512, 2
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -78,18 +78,15 @@ class OpenBins:
         return out
 
 
-_encoders: dict[int, UnitEncoder] = {}
+_encoders: dict[tuple[int, str], tiktoken.Encoding] = {}
 
 
-def _encoder(content: str) -> UnitEncoder:
-    if hash(content) not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.encode_special_tokens = True
-        _encoders[hash(content)] = UnitEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
-    return _encoders[hash(content)]
+def _encoder(content: bytes, pattern: str) -> tiktoken.Encoding:
+    """One encoder a Python worker, kept between tasks."""
+    key = (hash(content), pattern)
+    if key not in _encoders:
+        _encoders[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=parse_ranks(content), special_tokens={})
+    return _encoders[key]
 
 
 def pieces_of(doc_id: int | None, ids: bytes, length: int) -> Iterator[tuple[int, tuple]]:
@@ -102,17 +99,17 @@ def pieces_of(doc_id: int | None, ids: bytes, length: int) -> Iterator[tuple[int
         at, piece, to = to, piece + 1, min(to + length, n)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, open_bins: int = OPEN_BINS, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, rank_file: str, pattern: str, length: int = LENGTH, open_bins: int = OPEN_BINS, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents with their sequence and place in it; see PACKED.
 
-    Each task packs the documents it reads as they come, so nothing is shuffled; it keeps at most open_bins bins. A null or
+    The ids are those of byte-level BPE by the ranks, each match of the pattern apart, without special tokens. Each task packs the documents it reads as they come, so nothing is shuffled; it keeps at most open_bins bins. A null or
     empty text is the end id alone. Rows that repeat a doc_id are documents of their own. sequence_id is the task's number
     and a count, the same when a task is run again.
     """
-    content = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
+    content = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(content.value), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = _encoder(content.value, pattern), np.asarray([end_id], "<u4").tobytes()
         bins = OpenBins(length, open_bins, TaskContext.get().partitionId() << 36)
         names = [f.split()[0] for f in PACKED.split(", ")]
 
@@ -122,7 +119,8 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, open_bins:
 
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encoded(batch.column("text").to_pylist()), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
                 for size, item in pieces_of(doc_id, ids + end, length):
                     for closed in bins.add(size, item):
                         rows += bins.rows(closed)

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from partflow.llm.bpe import decode_bpe, encode_bpe
 from partflow.llm.common import read
 from partflow.llm.fingerprints import fingerprint_chain
+from partflow.llm.jaccard import near_duplicates
 from partflow.llm.language import held_out, identify_languages, learn_languages
 from partflow.llm.lines import dedup_lines
 from partflow.llm.packing import pack
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_chain(read(spark, folder, "documents"))
 
@@ -42,10 +47,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1,
     "op3_lz_fingerprints": op3,
     "op4_line_dedup": op4,
     "op5_byte_bpe": op5,
