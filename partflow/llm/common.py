@@ -57,7 +57,7 @@ _IS_WHITE[list(WHITE)] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         n = max(n, 1 << 16)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
@@ -84,7 +84,7 @@ class Words:
         if len(split):
             edges = np.sort(np.concatenate([edges, split, split]))
         self.data, self.starts, self.ends = data, edges[0::2], edges[1::2]
-        forward, back = _power_tables(len(data) + 1)
+        forward, back = power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * forward[: len(data)], out=sums[1:])
         self.hashes = mixed((sums[self.ends] - sums[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64))

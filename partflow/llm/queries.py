@@ -14,6 +14,7 @@ from partflow.llm.jaccard import near_duplicates
 from partflow.llm.language import held_out, identify_languages, learn_languages
 from partflow.llm.lines import dedup_lines
 from partflow.llm.packing import pack
+from partflow.llm.substrings import dedup_substrings
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_substrings(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     found = identify_languages(docs, learn_languages(docs))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lz_fingerprints": op3,
     "op4_line_dedup": op4,
     "op5_byte_bpe": op5,
+    "op7_substring_dedup": op7,
     "op8_language_id": op8,
     "op9_best_fit_packing": op9,
 }
