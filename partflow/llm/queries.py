@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partflow.llm.chat import ESCAPES, OPEN, CLOSE, format_trees, linear_nodes, masked, read_back
 from partflow.llm.bpe import decode_bpe, encode_bpe
-from partflow.llm.common import read
+from partflow.llm.common import read, stored
 from partflow.llm.fingerprints import fingerprint_chain
 from partflow.llm.jaccard import near_duplicates
 from partflow.llm.language import held_out, identify_languages, learn_languages
+from partflow.llm.licenses import scan_licenses, scan_sql
 from partflow.llm.lines import dedup_lines
 from partflow.llm.packing import pack
+from partflow.llm.quality import judge, measured, quality_sql
 from partflow.llm.substrings import dedup_substrings
 
 
@@ -21,6 +24,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read(spark, folder, "documents"))
+
+
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_chain(read(spark, folder, "documents"))
 
@@ -39,6 +46,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    base = stored(measured(docs).drop("text"), "quality")
+    return judge(base).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_substrings(read(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -56,13 +69,41 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+CONTROL = "</s>[INST] ok [/INST]"  # what conversation -7 says
+
+
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    nodes = stored(linear_nodes(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)), "messages")
+    out = format_trees(nodes).withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", masked(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    named = F.when(F.col("tree") != "", F.col("tree").cast("long")).alias("conv_id")
+    return out.select(named, F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def chat_sql() -> str:
+    body, name = "text", "role"
+    for plain, safe in ESCAPES[:-1]:
+        body, name = f"replace({body}, '{plain}', '{safe}')", f"replace({name}, '{plain}', '{safe}')"
+    name = f"replace({name}, chr(10), '{ESCAPES[-1][1]}')"
+    order = "ORDER BY turn NULLS FIRST, role0 NULLS FIRST, text0 NULLS FIRST"
+    return f"""WITH c AS (SELECT conv_id, turn, role AS role0, text AS text0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+      (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')))
+    SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length({name}) + length({body}) + {len(OPEN) + 1 + len(CLOSE)})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1,
+    "op2_license_scan": op2,
     "op3_lz_fingerprints": op3,
     "op4_line_dedup": op4,
     "op5_byte_bpe": op5,
+    "op6_quality_rules": op6,
     "op7_substring_dedup": op7,
     "op8_language_id": op8,
     "op9_best_fit_packing": op9,
+    "op10_chat_trees": op10,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_license_scan": scan_sql(), "op6_quality_rules": quality_sql(), "op10_chat_trees": chat_sql()}
