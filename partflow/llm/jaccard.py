@@ -126,10 +126,11 @@ def join_region(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     the pivot is within a radius of that of some document left outside: no other can have a partner there. Those that may
     have a partner among the border of another component stay open and become pivots themselves.
     """
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    size = np.asarray([len(s) for s in sets])
+    offsets = np.concatenate([[0], np.cumsum(size)])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    width = int(ids.max()) + 1 if len(ids) else 0
-    size = np.diff(offsets)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]  # of each shingle in turn
+    first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
     parent = list(range(len(nodes)))
 
     def root(i: int) -> int:
@@ -138,37 +139,39 @@ def join_region(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
             i = parent[i]
         return i
 
-    def nearest(distances: np.ndarray) -> float:
-        """The least distance from which two radii reach back to the pivot's own; beyond all when there is none."""
-        distances = distances[distances <= 2 * RADIUS + SLACK]
-        return float(distances.min()) if len(distances) else 2.0
-
-    opened, border = np.argsort(-size, kind="stable"), np.zeros(0, np.int64)
-    while len(opened):
-        pivot, opened = opened[0], opened[1:]
-        others = np.concatenate([opened, border])
-        if not len(others):
-            break
-        holds = np.zeros(width, bool)
-        holds[ids[offsets[pivot] : offsets[pivot + 1]]] = True
-        spans = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in others]) if len(others) < len(nodes) // 2 else None
-        if spans is None:
-            inner = np.add.reduceat(holds[ids].astype(np.int64), offsets[:-1])[others]
-        else:
-            cuts = np.concatenate([[0], np.cumsum(size[others])[:-1]])
-            inner = np.add.reduceat(holds[ids[spans]].astype(np.int64), cuts)
-        union = size[pivot] + size[others] - inner
-        linked = DENOMINATOR * inner >= NUMERATOR * union
-        distance = 1 - inner / union
-        for i in others[linked]:
-            parent[root(int(i))] = root(int(pivot))
-        was_open = np.arange(len(others)) < len(opened)
-        outside, taken = was_open & ~linked, was_open & linked
-        home = root(int(pivot))
-        foreign = np.asarray([not o and not k and root(int(i)) != home for i, o, k in zip(others, was_open, linked, strict=True)])
-        again = taken & (distance >= nearest(distance[foreign]) - RADIUS - SLACK)  # a border document of another component is near
-        kept = taken & ~again & (distance >= nearest(distance[outside]) - RADIUS - SLACK)
-        opened, border = others[outside | again], np.concatenate([border, others[kept]])
+    def around(pivot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, shared shingles, distance) of what lies within two radii of a pivot; nothing farther matters."""
+        mine = ids[offsets[pivot] : offsets[pivot + 1]]
+        begin, count = first[mine], first[mine + 1] - first[mine]
+        steps = np.arange(count.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        inner = np.bincount(holders[steps], minlength=len(nodes))
+        met = np.flatnonzero(inner)
+        inner = inner[met]
+        distance = 1 - inner / (size[pivot] + size[met] - inner)
+        near = (distance <= 2 * RADIUS + SLACK) & (met != pivot)
+        return met[near], inner[near], distance[near]
+
+    gone, opened, border = 0, 1, 2
+    state = np.full(len(nodes), opened)
+    for pivot in np.argsort(-size, kind="stable").tolist():
+        if state[pivot] != opened:
+            continue
+        state[pivot] = gone
+        met, inner, distance = around(pivot)
+        there = state[met] != gone
+        met, inner, distance = met[there], inner[there], distance[there]
+        linked = DENOMINATOR * inner >= NUMERATOR * (size[pivot] + size[met] - inner)
+        for i in met[linked].tolist():
+            parent[root(i)] = root(pivot)
+        was_open = state[met] == opened
+        home = root(pivot)
+        foreign = np.asarray([not o and root(i) != home for i, o in zip(met.tolist(), was_open.tolist(), strict=True)], bool)
+        reach_of = lambda some: distance[some].min(initial=2.0) - RADIUS - SLACK
+        taken = was_open & linked
+        again = taken & (distance >= reach_of(foreign))  # a border document of another component may be a partner
+        kept = taken & ~again & (distance >= reach_of(was_open & ~linked))
+        state[met[taken & ~again]] = gone
+        state[met[kept]] = border
     return [(nodes[i], nodes[root(i)]) for i in range(len(nodes)) if root(i) != i]
 
 
