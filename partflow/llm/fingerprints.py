@@ -118,7 +118,8 @@ def fingerprint_chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     the end of the range before it. A single document follows itself. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * tasks  # several a task, so that none gets much more than its share
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
     cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _bucket_of(F.col("doc_id"), cuts).alias("bucket"))
@@ -128,7 +129,7 @@ def fingerprint_chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = spark.createDataFrame([(r["head"], heads[i - 1]["bucket"]) for i, r in enumerate(heads)], "head long, bucket int")
     found = rows.drop("bucket").join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("head")))
     tails = found.groupBy("doc_id", "bucket").agg(F.min("text").alias("text")).withColumn("tail", F.lit(1))
-    dealt = rows.withColumn("tail", F.lit(0)).unionByName(tails).repartition(buckets, "bucket")
+    dealt = rows.withColumn("tail", F.lit(0)).unionByName(tails).repartition(tasks, "bucket")
     dealt = dealt.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

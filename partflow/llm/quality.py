@@ -15,7 +15,9 @@ RATES = (("n_symbols", "n_words", 100), ("n_dup_lines", "n_lines", 300), ("word_
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The rows of docs with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, lang, source of each row with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, base_failed.
+    A null or empty text has no word and fails the base rules. Other columns of docs are not carried on."""
+    docs = docs.select("doc_id", "text", "lang", "source")
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumn("__words", F.array_remove(F.split(text, SPACES, -1), ""))
     out = out.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("__words").cast("long"))
@@ -36,7 +38,7 @@ def measured(docs: DataFrame) -> DataFrame:
     out = out.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     out = out.withColumn("word_chars", F.length(F.translate(text, WHITE, "")).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__words", "__hashes", "__runs", "__sorted", "__places", "__lines")
+    return out.withColumn("base_failed", failed).drop("__words", "__hashes", "__runs", "__sorted", "__places", "__lines", "text")
 
 
 def bucket(value: Column) -> Column:

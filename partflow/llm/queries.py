@@ -47,8 +47,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    base = stored(measured(docs).drop("text"), "quality")
+    base = stored(measured(read(spark, folder, "documents")), "quality")
     return judge(base).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
