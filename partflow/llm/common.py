@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partflow.session import scratch_path
 
 WHITE = b" \t\n\x0b\x0c\r"  # fixed value: the white space of the word rule [^\x20\x09-\x0D]+
-BLOCK_BYTES = 4 << 20  # texts are hashed in blocks of about this size; a longer text is a block of its own
+BLOCK_BYTES = 1 << 20  # texts are hashed in blocks of about this size; a longer text is a block of its own
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
