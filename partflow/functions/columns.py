@@ -58,11 +58,11 @@ def first_present(cols: Sequence[str]) -> Column:
 
 
 # Fixed pattern of a category value such as T48576: one letter, then a whole number.
-CATEGORY_VALUE = r"^[A-Za-z]-?[0-9]{1,18}$"
+CATEGORY_VALUE = r"^[A-Za-z]-?[0-9]{1,19}$"
 
 
 def category_code(c: ColumnLike) -> Column:
-    """The number after the leading letter; null for anything that is not letter plus whole number."""
+    """The number after the leading letter; null for anything that is not letter plus whole number of 64 bits."""
     value = as_column(c)
     return F.when(value.rlike(CATEGORY_VALUE), F.substring(value, 2, 20).try_cast("bigint"))
 

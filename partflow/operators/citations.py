@@ -68,7 +68,7 @@ def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: D
                 .when(~F.array_contains(F.coalesce(F.col("allowed_columns"), none), name),
                       F.concat(F.lit(f"{where}: column "), name, F.lit(" was not returned by get_part"))))
 
-    digits = r"^[0-9]{1,18}$"
+    digits = r"^[0-9]{1,19}$"  # what does not fit 64 bits was not returned
 
     def citation_error(c: Column) -> Column:
         returned = F.coalesce(c["value"].rlike(digits)

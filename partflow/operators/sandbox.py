@@ -203,15 +203,16 @@ def feature_status(decisions: DataFrame, decider: str = "warden") -> DataFrame:
             .select("feature_id", "name", status.alias("status"), F.coalesce("decisions", F.lit(0)).alias("decisions")))
 
 
-def explore(tables: Mapping[str, DataFrame], labels: DataFrame, sql: str, rows: int) -> DataFrame:
-    """A read-only query over the train views, with labels visible as parts_labels, as a page of rows."""
+def explore(tables: Mapping[str, DataFrame], labels: DataFrame, sql: str, rows: int | None = None) -> DataFrame:
+    """A read-only query over the train views, with labels visible as parts_labels: the whole result, or a page of rows."""
     spark = labels.sparkSession
     names = [*[VIEWS[k] for k in tables], "parts_labels"]
     for kind, table in tables.items():
         table.drop(LABEL).createOrReplaceTempView(VIEWS[kind])
     labels.select(ID, LABEL).createOrReplaceTempView("parts_labels")
     try:
-        return first_rows(spark.sql(sql), rows)
+        found = spark.sql(sql)
+        return found if rows is None else first_rows(found, rows)
     finally:
         for name in names:
             spark.catalog.dropTempView(name)

@@ -53,3 +53,9 @@ def accept(evaluations: DataFrame, reference: DataFrame, config: AcceptConfig =
     stop = (F.when(F.col("consecutive_failures") >= config.stop_after, "consecutive failures")
             .when(F.col("call") >= config.max_evaluations, "evaluation budget"))
     return out.withColumn("stop_reason", stop)
+
+
+def accept_all(evaluations: DataFrame, reference: DataFrame, config: AcceptConfig = AcceptConfig()) -> DataFrame:
+    """Every evaluation with the fold's columns; counted is false, and those are null, after its search has ended."""
+    rows = accept(evaluations, reference, config).drop("mcc", "ap").withColumn("counted", F.lit(True))
+    return evaluations.select("search", "seq", "mcc", "ap").join(rows, ["search", "seq"], "left").withColumn("counted", F.coalesce("counted", F.lit(False)))

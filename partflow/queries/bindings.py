@@ -195,7 +195,7 @@ def search_reference(spark: SparkSession, folder: str) -> DataFrame:
                                                    F.lit(0.001).alias("sd_mcc"), F.lit(0.0005).alias("sd_ap")))
 
 
-def vectors(spark: SparkSession, folder: str, dims: int = 8) -> DataFrame:
+def vectors(spark: SparkSession, folder: str, dims: int = 64) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), (F.col("vec_id") % 7 == 0).cast("int").alias("y"), F.col("label").cast("string").alias("route"),
         *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(dims)])
@@ -258,7 +258,7 @@ CTES = {
     "reference": "SELECT user_id AS search, round(min(value) / 1000 + 0.02, 6) AS mcc, round(min(value) / 2000 + 0.01, 6) AS ap, "
                  "CAST(0.001 AS DOUBLE) AS sd_mcc, CAST(0.0005 AS DOUBLE) AS sd_ap FROM events GROUP BY user_id",
     "vectors": "SELECT vec_id AS id, CAST(vec_id % 7 = 0 AS INTEGER) AS y, CAST(label AS VARCHAR) AS route, "
-               + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8)) + " FROM embeddings",
+               + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(64)) + " FROM embeddings",
 }
 _NEEDS = {"num": ("parts", "visits"), "dat": ("parts", "visits"), "cat": ("parts", "visits"), "numlong": ("visits",), "datlong": ("visits",),
           "catlong": ("visits",), "starts": ("parts", "visits"), "cuts": ("starts",), "splits": ("starts", "cuts"), "scores": ("parts",),

@@ -190,7 +190,7 @@ NEAR_CTES = ("near AS (SELECT p.Id, p.Response, r.route, max(d2) - min(d1) AS el
              "FROM parts p JOIN routes r ON r.Id = p.Id LEFT JOIN visits v ON v.Id = p.Id GROUP BY p.Id, p.Response, r.route), "
              "ntrain AS (SELECT Id AS id, Response AS y, * EXCLUDE (Id, Response) FROM near WHERE Id IN (SELECT Id FROM splits WHERE split = 'train')), "
              "nqueue AS (SELECT Id AS part_id, * EXCLUDE (Id) FROM near WHERE Id IN (SELECT part_id FROM queue)), " + knn_sql("ntrain", "nqueue", NEAR, K))
-VEC = ("vqueue AS (SELECT id AS part_id, * EXCLUDE (id, y) FROM vectors), " + knn_sql("vectors", "vqueue", [f"x{i}" for i in range(8)], 10))
+VEC = ("vqueue AS (SELECT id AS part_id, * EXCLUDE (id, y) FROM vectors), " + knn_sql("vectors", "vqueue", [f"x{i}" for i in range(64)], 10))
 NAMES = "scores splits visits routes parts"
 
 QUERIES = [

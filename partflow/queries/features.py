@@ -45,7 +45,7 @@ LINE_SQL = ", ".join(f"{greatest(flat({x: DAT[x] for x in ss}))} - {least(flat({
                      f"{least(flat({x: DAT[x] for x in ss}))} - {START} AS {line}_arrival" for line, ss in LINES.items())
 PART_SQL = (f"{greatest(flat(DAT))} - {START} AS elapsed, " + " + ".join(f"CAST({greatest(c)} IS NOT NULL AS INTEGER)" for c in DAT.values())
             + f" AS n_stations, {START} AS start_ts")
-CODE_SQL = ", ".join(f"CASE WHEN regexp_matches({c}, '^[A-Za-z]-?[0-9]{{1,18}}$') THEN TRY_CAST(substr({c}, 2) AS BIGINT) END AS cat_{c}" for c in flat(CAT))
+CODE_SQL = ", ".join(f"CASE WHEN regexp_matches({c}, '^[A-Za-z]-?[0-9]{{1,19}}$') THEN TRY_CAST(substr({c}, 2) AS BIGINT) END AS cat_{c}" for c in flat(CAT))
 COUNT_SQL = ", ".join(f"{present(c)} AS {s}_cat_count" for s, c in CAT.items())
 ROUTE_SQL = "concat_ws('-', " + ", ".join(f"CASE WHEN {greatest(NUM[s])} IS NOT NULL OR {greatest(DAT[s])} IS NOT NULL THEN '{s}' END" for s in DAT) + ")"
 ALL_SQL = f"SELECT Id, Response, {NUM_SQL}, {TIMING_SQL}, {LINE_SQL}, {PART_SQL}, {CODE_SQL}, {COUNT_SQL}, {ROUTE_SQL} AS route FROM num JOIN dat USING (Id) JOIN cat USING (Id)"

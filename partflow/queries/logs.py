@@ -8,7 +8,7 @@ from partflow.operators import scorecard as sc
 from partflow.operators.sandbox import FeatureDef, feature_status, propose
 from partflow.plans.ensemble import noise_reference
 from partflow.plans.leaks import LeakConfig, final_status, leak_verdict
-from partflow.plans.search import AcceptConfig, accept
+from partflow.plans.search import AcceptConfig, accept, accept_all
 from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 
@@ -35,7 +35,7 @@ def refusals(spark, folder):
 
 
 def g10(spark, folder):
-    return accept(b.evaluations(spark, folder), b.search_reference(spark, folder), ACCEPT)
+    return accept_all(b.evaluations(spark, folder), b.search_reference(spark, folder), ACCEPT)
 
 
 def r7(spark, folder):
@@ -142,10 +142,10 @@ QUERIES = [
           b.with_ctes("traces", "SELECT log, bool_or(event = 'agent_start') AND bool_or(event = 'search_summary') AND bool_or(event IN ('agent_end', 'budget_stop')) AS complete FROM traces GROUP BY log")),
     Query("R9_search_summary", r9,
           recursive(b.with_ctes("reviews evals reference", "SELECT s.*, e.* FROM (SELECT count(*) AS proposals, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'quarantined') AS quarantined, "
-                                "coalesce(CAST(count(*) FILTER (status = 'approved') AS DOUBLE) / nullif(count(*), 0), 0) AS survival_rate FROM st) s, (SELECT count(*) AS evaluations, max(best_mcc) AS best_mcc, "
+                                "coalesce(CAST(count(*) FILTER (status = 'approved') AS DOUBLE) / nullif(count(*), 0), 0) AS survival_rate FROM st) s, (SELECT (SELECT count(*) FROM evals) AS evaluations, max(best_mcc) AS best_mcc, "
                                 "max(best_ap) AS best_ap, count(*) FILTER (improved) AS improved, CAST(0 AS BIGINT) AS holdout_ids_referenced FROM accepted) e", f"{STATUS}, {FOLD}")),
           ["survival_rate", "best_mcc", "best_ap"]),
-    Query("G10_accept", g10, recursive(b.with_ctes("evals reference", "SELECT * FROM accepted", FOLD)), ["mcc_bar", "ap_bar", "best_mcc", "best_ap", "mcc", "ap"]),
+    Query("G10_accept", g10, recursive(b.with_ctes("evals reference", "SELECT e.search, e.seq, e.mcc, e.ap, a.* EXCLUDE (search, seq, mcc, ap), a.search IS NOT NULL AS counted FROM evals e LEFT JOIN accepted a ON a.search = e.search AND a.seq = e.seq", FOLD)), ["mcc_bar", "ap_bar", "best_mcc", "best_ap", "mcc", "ap"]),
     Query("A10_noise_reference", lambda s, d: noise_reference(b.evaluations(s, d)),
           b.with_ctes("evals", "SELECT avg(mcc) AS mcc, avg(ap) AS ap, stddev_samp(mcc) AS sd_mcc, stddev_samp(ap) AS sd_ap FROM evals"), ["mcc", "ap", "sd_mcc", "sd_ap"]),
     Query("L6_leak_verdict", l6, b.with_ctes("parts", "SELECT * FROM verdicts", RESULTS), ["collapse", "retention"]),

@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from partflow.functions.columns import category_code
 from partflow.sources import catalog as cat, logs as lg, measurements as ms, tables as tb
 
 
@@ -19,6 +20,19 @@ def test_schema_types_come_from_names():
     assert cat.table_schema(["Id", "L0_S1_F25", "L0_S1_F27"], "categorical")[1].dataType.simpleString() == "string"
 
 
+def test_column_difference_goes_by_name_and_then_by_order(spark):
+    table = lambda *names: spark.createDataFrame([("numeric", n, i) for i, n in enumerate(names)], "kind string, name string, position int")
+    found = lambda a, b: sorted((r.name, r.side) for r in cat.column_difference(a, b).collect())
+    assert found(table("a", "b", "c"), table("b", "c")) == [("a", "left")]
+    assert found(table("a", "b"), table("a", "x", "b")) == [("x", "right")]
+    assert found(table("a", "b", "c"), table("a", "c", "b")) == [("b", "order"), ("c", "order")]
+
+
+def test_codes_of_nineteen_digits(spark):
+    rows = spark.createDataFrame([("T1234567890123456789",), ("T9999999999999999999",), ("T-7",)], "c string")
+    assert [r[0] for r in rows.select(category_code("c")).collect()] == [1234567890123456789, None, -7]
+
+
 @pytest.mark.parametrize("ending", ["", "\n"])
 def test_csv_is_typed_and_reconciles(spark, folder, ending):
     csv, parquet = os.path.join(folder, "in.csv"), os.path.join(folder, "out.parquet")

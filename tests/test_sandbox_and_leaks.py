@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from partflow.operators import sandbox as sb
 from partflow.plans import leaks as lk
-from partflow.plans.search import AcceptConfig, accept
+from partflow.plans.search import accept, accept_all, AcceptConfig
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +133,8 @@ def test_acceptance_moves_the_bar_and_stops(spark):
     assert got[-1].stop_reason == "consecutive failures" and got[-1].best_mcc == .25
     capped = accept(evals, ref, AcceptConfig(max_evaluations=2)).orderBy("seq").collect()
     assert [r.stop_reason for r in capped] == [None, "evaluation budget"]
+    every = accept_all(evals, ref).orderBy("seq").collect()
+    assert [r.counted for r in every] == [True] * 5 + [False] and every[-1].mcc == .9 and every[-1].improved is None
 
 
 def test_new_columns_are_prefixed_capped_and_covering(spark, layout):
