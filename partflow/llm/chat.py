@@ -39,8 +39,9 @@ def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
     jumps, most = [stored(real, "jumps")], base.count().bit_length()
     while len(jumps) <= most and not jumps[-1].filter("up IS NOT NULL").isEmpty():
         far = jumps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        step = jumps[-1].join(far, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        jumps.append(stored(step, "jumps"))
+        climbing, done = jumps[-1].filter("up IS NOT NULL"), jumps[-1].filter("up IS NULL")
+        step = climbing.join(far, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        jumps.append(stored(step.unionByName(done), "jumps"))
     inner = jumps[0].filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].filter("up IS NULL").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"))
     if top is not None:
