@@ -30,10 +30,15 @@ def threshold_bucket(p: Column, thresholds: Sequence[float] = GRID) -> Column:
         return F.when(F.isnan(p) | (p >= 1.0), F.lit(top)).when(p < 0.0, F.lit(-1)).otherwise(exact)
     if list(thresholds) != sorted(thresholds):
         raise ValueError("thresholds must be ascending")
-    reached = F.aggregate(
-        F.array(*[F.lit(float(t)) for t in thresholds]), F.lit(-1),
-        lambda acc, t: acc + F.when(p >= t, 1).otherwise(0))
-    return reached
+
+    def search(low: int, high: int) -> Column:
+        """Conditions as a balanced tree: a score passes as many as the logarithm of the thresholds."""
+        if low > high:
+            return F.lit(low - 1)
+        middle = (low + high) // 2
+        return F.when(p >= F.lit(float(thresholds[middle])), search(middle + 1, high)).otherwise(search(low, middle - 1))
+
+    return F.when(p.isNotNull(), search(0, top)).otherwise(F.lit(-1))
 
 
 def dollars_per_shift(tp: Column, fp: Column, tn: Column, fn: Column, costs) -> Column:

@@ -58,15 +58,15 @@ def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: D
 
     none = F.array().cast("array<string>")
     missing = F.filter(F.array(*[F.when(F.col(f"disposition.{f}").isNull(), F.lit(f)) for f in REQUIRED]), lambda x: x.isNotNull())
-    missing_errors = F.when(F.size(missing) > 0, F.array(F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))).otherwise(none)
+    missing_errors = F.when(F.size(missing) > 0, F.array(F.concat(F.lit("left out: "), F.array_join(missing, ", ")))).otherwise(none)
 
     bad_choice = F.when(~d["recommendation"].isin(*RECOMMENDATIONS),
-                        F.array(F.concat(F.lit("recommendation "), d["recommendation"], F.lit(" is not allowed")))).otherwise(none)
+                        F.array(F.concat(F.lit("recommendation "), d["recommendation"], F.lit(" is none of the choices")))).otherwise(none)
 
     def column_error(where: str, name: Column) -> Column:
-        return (F.when(~F.array_contains(F.col("known"), name), F.concat(F.lit(f"{where}: column "), name, F.lit(" is not in the schema")))
+        return (F.when(~F.array_contains(F.col("known"), name), F.concat(F.lit(f"{where}: column "), name, F.lit(" names no column of the tables")))
                 .when(~F.array_contains(F.coalesce(F.col("allowed_columns"), none), name),
-                      F.concat(F.lit(f"{where}: column "), name, F.lit(" was not returned by get_part"))))
+                      F.concat(F.lit(f"{where}: column "), name, F.lit(" is missing from the part record"))))
 
     digits = r"^[0-9]{1,19}$"  # what does not fit 64 bits was not returned
 
@@ -76,15 +76,15 @@ def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: D
                               F.lit(False))
         return (F.when(c["kind"] == "column", column_error("citation", F.coalesce(c["value"], F.lit(""))))
                 .when(c["kind"] == "part", F.when(~returned, F.concat(F.lit("citation: part "), F.coalesce(c["value"], F.lit("")),
-                                                                       F.lit(" was not returned by a tool"))))
-                .otherwise(F.concat(F.lit("citation: unknown kind "), F.coalesce(c["kind"], F.lit("null")))))
+                                                                       F.lit(" came from no tool result"))))
+                .otherwise(F.concat(F.lit("citation: no such kind "), F.coalesce(c["kind"], F.lit("null")))))
 
     def range_error(e: Column) -> Column:
         truth = F.try_element_at(F.filter("actual", lambda a: a["name"] == e["column"]), F.lit(1))
         agrees = F.coalesce(close_to(e["value"], truth["value"]) & close_to(e["low"], truth["low"]) & close_to(e["high"], truth["high"]), F.lit(False))
         name = F.coalesce(e["column"], F.lit("null"))
-        return (F.when(truth.isNull(), F.concat(F.lit("out_of_range: "), name, F.lit(" is not out of range on this part")))
-                .when(~agrees, F.concat(F.lit("out_of_range: "), name, F.lit(" values do not match the part record"))))
+        return (F.when(truth.isNull(), F.concat(F.lit("out_of_range: "), name, F.lit(" lies within its range here")))
+                .when(~agrees, F.concat(F.lit("out_of_range: "), name, F.lit(" is quoted with other values"))))
 
     def found(errors: Column) -> Column:
         return F.coalesce(F.filter(errors, lambda x: x.isNotNull()), none)

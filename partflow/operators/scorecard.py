@@ -1,7 +1,8 @@
 """Summaries of agent traces, decisions and evaluations.
 
-Traces are rows (log, agent, at, pos, event, ...). A busy agent may own a third of all rows, so runs are
-numbered by a distributed running total along (agent, at, pos) instead of a window per agent.
+Traces are rows (log, block, pos, at, event, ...) in the order of their lines; stamps have whole seconds and a clock may go
+back, so they order nothing. A busy agent may own a third of all rows, so runs are numbered by a distributed running total
+along (log, block, pos) instead of a window per agent.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ from partflow.operators.ranking import running_totals
 LOG_STAMP = r"-[0-9T]+Z?$"
 REFUSAL_LOG = "refusals"
 END_EVENTS = ("agent_end", "budget_stop")
+LINE_ORDER = ("block", "pos")
 
 
 def agent_name(log: Column) -> Column:
     return F.regexp_replace(log, LOG_STAMP, "")
 
 
-def run_groups(traces: DataFrame, source: str = "log", order: Sequence[str] = ("at", "pos")) -> DataFrame:
+def of_agent(traces: DataFrame, agent: str | None, source: str = "log") -> DataFrame:
+    """The logs of one agent, whose names are the agent's and a stamp; all logs without an agent."""
+    return traces if agent is None else traces.where(F.col(source).startswith(f"{agent}-"))
+
+
+def run_groups(traces: DataFrame, source: str = "log", order: Sequence[str] = LINE_ORDER) -> DataFrame:
     """Add `run`: it grows at each agent_start of a source. Rows before the first start form a run of their own.
 
     The total runs over all sources together; a run is identified by (source, run), so it needs no reset.
@@ -32,14 +39,14 @@ def run_groups(traces: DataFrame, source: str = "log", order: Sequence[str] = ("
     return running_totals(marked, [source, *order], {"run": "__start"}).drop("__start")
 
 
-def run_spend(traces: DataFrame, source: str = "log", order: Sequence[str] = ("at", "pos")) -> DataFrame:
+def run_spend(traces: DataFrame, source: str = "log", order: Sequence[str] = LINE_ORDER) -> DataFrame:
     """Peak spend of each run; a run without a model turn spent nothing."""
     spent = F.when(F.col("event") == "model_turn", F.coalesce("spent_usd", F.lit(0.0)))
     return (run_groups(traces, source, order).groupBy(source, "run")
             .agg(F.greatest(F.coalesce(F.max(spent), F.lit(0.0)), F.lit(0.0)).alias("peak_usd")))
 
 
-def spend_by_agent(traces: DataFrame, source: str = "log", order: Sequence[str] = ("at", "pos")) -> DataFrame:
+def spend_by_agent(traces: DataFrame, source: str = "log", order: Sequence[str] = LINE_ORDER) -> DataFrame:
     """(agent, spent_usd): peaks of runs summed per agent. Refusal logs carry no spend."""
     used = traces.where(F.col(source) != REFUSAL_LOG)
     return (run_spend(used, source, order).groupBy(agent_name(F.col(source)).alias("agent"))
@@ -62,25 +69,26 @@ def quarantined_names(status: DataFrame) -> DataFrame:
     return status.where(F.col("status") == "quarantined").select("name")
 
 
-def disposition_facts(traces: DataFrame) -> DataFrame:
-    """Disposition outcomes and how many were rejected for fabricated citations."""
+def disposition_facts(traces: DataFrame, agent: str | None = None) -> DataFrame:
+    """Disposition outcomes and how many were rejected for fabricated citations, in the logs of an agent or in all."""
     outcome = F.col("event") == "disposition_outcome"
-    return traces.agg(F.count_if(outcome).alias("dispositions"),
+    return of_agent(traces, agent).agg(F.count_if(outcome).alias("dispositions"),
                       F.count_if(outcome & (F.col("status") == "rejected")).alias("fabricated_citations"))
 
 
 def leak_lift(traces: DataFrame, feature: str, tool: str = "id_shuffle_test", source: str = "log",
-              order: Sequence[str] = ("at", "pos")) -> DataFrame:
-    """First shuffle-test result of the named feature in the newest log that has one; at most one row.
+              order: Sequence[str] = LINE_ORDER, agent: str | None = None) -> DataFrame:
+    """First shuffle-test result of the named feature in the newest log that has one, by stamp; at most one row.
 
+    Only the logs of the agent count, if one is named. Logs of one stamp go by name.
     The task of a run is read off its start row and met again by (source, run): no window over a log.
     """
-    runs = run_groups(traces, source, order)
+    runs = run_groups(of_agent(traces, agent, source), source, order)
     named = (runs.where((F.col("event") == "agent_start") & F.col("task").contains(f"'{feature}'"))
              .select(source, "run"))
     hits = runs.where((F.col("event") == "tool_result") & (F.col("tool") == tool)).join(named, [source, "run"], "left_semi")
     first = F.struct(F.col(source), *[F.col(o) for o in order])
-    newest = hits.agg(F.max(source).alias("s")).scalar()
+    newest = hits.agg(F.max_by(source, F.struct(F.regexp_extract(source, LOG_STAMP, 0), source)).alias("s")).scalar()
     return (hits.where(F.col(source) == newest).agg(F.min_by("result", first).alias("r"), F.first(source).alias("log"))
             .where(F.col("r").isNotNull()).select("log", "r.lift", "r.shuffled_lift"))
 

@@ -167,7 +167,7 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
              .when(number % 3 == 1, "agent_end").otherwise("budget_stop"))
     log = F.concat(F.lit("agent"), (F.col("user_id") % 20).cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd"), F.lit("T000000Z"))
     return e.select(
-        log.alias("log"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), number.alias("pos"), event.alias("event"),
+        log.alias("log"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.lit(0).cast("long").alias("block"), number.alias("pos"), event.alias("event"),
         F.when(kind == "signup", F.concat(F.lit("Feature f ('feature"), (number % 11).cast("string"), F.lit("')"))).alias("task"),
         F.when(kind == "click", "id_shuffle_test").alias("tool"), F.when(kind == "view", F.col("value")).alias("spent_usd"),
         F.when(kind == "purchase", F.when(number % 7 == 0, "rejected").otherwise("valid")).alias("status"),

@@ -158,15 +158,15 @@ EVIDENCE = ("ev AS (SELECT q.part_id, q.score, r.route, coalesce(n.present, 0) A
             "ORDER BY name) FILTER (value < low OR value > high) AS oor, list(name ORDER BY name) FILTER (value < low OR value > high) AS outside FROM numlong JOIN ranges USING (name) GROUP BY Id) n ON n.Id = q.part_id "
             "LEFT JOIN (SELECT Id, string_agg(name, ',' ORDER BY name) AS cols FROM datlong GROUP BY Id) d ON d.Id = q.part_id, policy)")
 FIRST = "CASE WHEN columns = '' THEN 'L0_S1_F1' ELSE split_part(columns, ',', 1) END"
-NOT_RETURNED = "|| ' was not returned by get_part'"
+NOT_RETURNED = "|| ' is missing from the part record'"
 ERRORS = (f"errs AS (SELECT *, {FIRST} AS first_column FROM ev), judged AS (SELECT part_id, part_id % 13 = 0 AS absent, "
-          "CASE WHEN part_id % 17 = 0 THEN ['missing fields: reason'] ELSE list_filter(list_concat(["
-          "CASE WHEN part_id % 10 = 0 THEN 'recommendation rework is not allowed' END, "
+          "CASE WHEN part_id % 17 = 0 THEN ['left out: reason'] ELSE list_filter(list_concat(["
+          "CASE WHEN part_id % 10 = 0 THEN 'recommendation rework is none of the choices' END, "
           f"CASE WHEN columns = '' THEN 'citation: column ' || first_column {NOT_RETURNED} END, "
-          "CASE WHEN part_id % 5 = 0 THEN 'citation: part 999999999999 was not returned by a tool' WHEN part_id % 5 = 1 THEN 'citation: unknown kind web' END], "
-          "CASE WHEN part_id % 11 = 0 THEN list_transform(outside, lambda x: 'out_of_range: ' || x || ' values do not match the part record') ELSE [] END, ["
-          "CASE WHEN part_id % 7 = 0 AND columns = '' THEN 'reason: column ' || first_column || ' was not returned by get_part' END, "
-          "CASE WHEN part_id % 7 = 0 THEN 'reason: column L9_S9_F9 is not in the schema' WHEN part_id % 7 = 1 THEN CASE WHEN NOT contains(columns, 'L2_S7_D2') "
+          "CASE WHEN part_id % 5 = 0 THEN 'citation: part 999999999999 came from no tool result' WHEN part_id % 5 = 1 THEN 'citation: no such kind web' END], "
+          "CASE WHEN part_id % 11 = 0 THEN list_transform(outside, lambda x: 'out_of_range: ' || x || ' is quoted with other values') ELSE [] END, ["
+          "CASE WHEN part_id % 7 = 0 AND columns = '' THEN 'reason: column ' || first_column || ' is missing from the part record' END, "
+          "CASE WHEN part_id % 7 = 0 THEN 'reason: column L9_S9_F9 names no column of the tables' WHEN part_id % 7 = 1 THEN CASE WHEN NOT contains(columns, 'L2_S7_D2') "
           f"THEN 'reason: column L2_S7_D2' {NOT_RETURNED} END WHEN columns = '' THEN 'reason: column ' || first_column {NOT_RETURNED} END]), lambda x: x IS NOT NULL) END AS errors FROM errs)")
 
 

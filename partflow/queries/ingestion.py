@@ -9,7 +9,7 @@ from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 from partflow.session import scratch_path
 from partflow.sources import catalog as cat, logs as lg, measurements as ms, tables as tb
-from partflow.streaming.review import decision_source, drain, label_stream
+from partflow.streaming.review import decision_source, drain, each_once, label_stream
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -85,7 +85,7 @@ def s9(spark, folder):
 
 def s10(spark, folder):
     path = scratch_path(spark, "traces")
-    b.traces(spark, folder).drop("log").write.json(path)
+    b.traces(spark, folder).drop("log", "block", "pos").write.json(path)
     return lg.read_jsonl_log(spark, path, lg.TRACE_SCHEMA).select("at", "event", "task", "tool", "spent_usd", "status", F.col("result.lift").alias("lift"))
 
 
@@ -98,7 +98,7 @@ def decision_files(spark, folder):
 
 
 def s11(spark, folder):
-    return lg.read_jsonl_log(spark, decision_files(spark, folder), lg.DECISION_SCHEMA).drop("log")
+    return lg.read_jsonl_log(spark, decision_files(spark, folder), lg.DECISION_SCHEMA).drop("log", "block", "pos")
 
 
 def f9(spark, folder):
@@ -109,7 +109,7 @@ def k2(spark, folder):
     """Decision files, one of them delivered twice, through the stream."""
     path = decision_files(spark, folder)
     lg.append_label(b.decisions(spark, folder).where("action = 'scrap'"), path)
-    out = drain(label_stream(decision_source(spark, path), "3650 days"), "labels")
+    out = each_once(drain(label_stream(decision_source(spark, path)), "labels"))
     return out.select("part_id", "action", "label", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

@@ -13,6 +13,7 @@ from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 
 ACCEPT = AcceptConfig()
+AGENT = "agent1"  # whose logs R3 and R4 read, next to those of agent10 to agent19
 
 
 def status(spark, folder):
@@ -20,7 +21,7 @@ def status(spark, folder):
 
 
 def r4(spark, folder):
-    return sc.leak_lift(b.traces(spark, folder), "feature3")
+    return sc.leak_lift(b.traces(spark, folder), "feature3", agent=AGENT)
 
 
 def r5(spark, folder):
@@ -81,7 +82,7 @@ U1 = FeatureDef("fresh", "new idea", sql="SELECT Id, L0_S1_F1 AS reading FROM pa
 STATUS = ("st AS (SELECT feature_id, name, CASE WHEN coalesce(bool_or(status = 'quarantined') FILTER (ok), false) THEN 'quarantined' "
           "ELSE coalesce(arg_max(status, \"at\") FILTER (ok), 'proposed') END AS status, count(*) FILTER (ok) AS decisions FROM ("
           "SELECT *, actor = 'warden' AND length(trim(finding)) > 0 AND status IN ('approved', 'quarantined') AS ok FROM reviews) GROUP BY feature_id, name)")
-RUNS = ("runs AS (SELECT *, sum(CASE WHEN event = 'agent_start' THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY \"at\", pos ROWS UNBOUNDED PRECEDING) AS r FROM traces)")
+RUNS = ("runs AS (SELECT *, sum(CASE WHEN event = 'agent_start' THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r FROM traces)")
 PEAKS = "peaks AS (SELECT log, r, greatest(coalesce(max(spent_usd) FILTER (event = 'model_turn'), 0), 0) AS peak FROM runs GROUP BY log, r)"
 FOLD = (f"calls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY seq) AS call FROM evals) WHERE call <= {ACCEPT.max_evaluations}), "
         "fold AS (SELECT search, CAST(0 AS BIGINT) AS call, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS mcc, CAST(NULL AS DOUBLE) AS ap, CAST(NULL AS DOUBLE) AS mcc_bar, "
@@ -120,12 +121,12 @@ QUERIES = [
           b.with_ctes("reviews", "SELECT count(*) FILTER (status = 'approved') AS approved, count(*) AS decided, count(*) FILTER (status = 'quarantined') AS quarantined, "
                                  "coalesce(CAST(count(*) FILTER (status = 'approved') AS DOUBLE) / nullif(count(*), 0), 0) AS rate FROM st WHERE status <> 'proposed'", STATUS), ["rate"]),
     Query("R2_quarantined_names", lambda s, d: sc.quarantined_names(status(s, d)), b.with_ctes("reviews", "SELECT name FROM st WHERE status = 'quarantined'", STATUS)),
-    Query("R3_disposition_facts", lambda s, d: sc.disposition_facts(b.traces(s, d)),
+    Query("R3_disposition_facts", lambda s, d: sc.disposition_facts(b.traces(s, d), AGENT),
           b.with_ctes("traces", "SELECT count(*) FILTER (event = 'disposition_outcome') AS dispositions, count(*) FILTER (event = 'disposition_outcome' AND status = 'rejected') "
-                                "AS fabricated_citations FROM traces")),
+                                f"AS fabricated_citations FROM traces WHERE log LIKE '{AGENT}-%'")),
     Query("R4_leak_lift", r4,
-          b.with_ctes("traces", "SELECT log, lift, shuffled_lift FROM (SELECT t.*, row_number() OVER (ORDER BY t.log DESC, t.\"at\", t.pos) AS k FROM runs t JOIN runs n ON n.log = t.log AND n.r = t.r "
-                                "AND n.event = 'agent_start' AND contains(n.task, '''feature3''') WHERE t.event = 'tool_result') WHERE k = 1", RUNS), ["lift", "shuffled_lift"]),
+          b.with_ctes("traces", "SELECT log, lift, shuffled_lift FROM (SELECT t.*, row_number() OVER (ORDER BY regexp_extract(t.log, '-[0-9T]+Z?$') DESC, t.log DESC, t.pos) AS k FROM runs t JOIN runs n ON n.log = t.log AND n.r = t.r "
+                                "AND n.event = 'agent_start' AND contains(n.task, '''feature3''') WHERE t.event = 'tool_result' AND t.log LIKE 'agent1-%') WHERE k = 1", RUNS), ["lift", "shuffled_lift"]),
     Query("R5_spend_per_point", r5,
           "SELECT *, CASE WHEN (best_mcc - reference_mcc) * 100 > 0 THEN spent_usd / ((best_mcc - reference_mcc) * 100) END AS usd_per_point FROM (SELECT user_id, sum(value) AS spent_usd, "
           "CAST(min(event_id) % 10 AS DOUBLE) / 1000 AS reference_mcc, CAST(max(event_id) % 10 AS DOUBLE) / 1000 AS best_mcc FROM events GROUP BY user_id)", ["spent_usd", "usd_per_point"]),

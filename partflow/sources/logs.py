@@ -10,25 +10,32 @@ from partflow.functions.scoring import label_for
 # The label each review action carries into the training set.
 ACTION_LABELS = {"ship": 0, "scrap": 1, "senior_review": None}
 
+LABEL_COLUMNS = ("part_id", "action", "label", "at")
 DECISION_SCHEMA = "part_id long, action string, label int, at string"
 TRACE_SCHEMA = ("at string, event string, task string, tool string, spent_usd double, status string, "
                 "result struct<lift: double, shuffled_lift: double, collapse: double>")
 
 
 def read_jsonl_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Typed scan of a JSON-lines log. `log` is the file name without its extension."""
+    """Typed scan of a JSON-lines log. `log` is the file name without its extension.
+
+    (block, pos) is the place of a line in its file: where the split that holds it begins, and a number that grows along the
+    lines a task reads. Only the order of the places has a meaning; it holds however a file is split.
+    """
     rows = spark.read.schema(schema).json(path)
-    return rows.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl?$", "").alias("log"))
+    return rows.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl?$", "").alias("log"),
+                       F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
 
 
 def labelled(decisions: DataFrame) -> DataFrame:
-    """Decisions with the label of their action and a timestamp."""
-    return decisions.select("part_id", "action", label_for(F.col("action"), ACTION_LABELS).alias("label"), "at")
+    """Decisions with the label of their action and a timestamp; further columns follow."""
+    more = [c for c in decisions.columns if c not in LABEL_COLUMNS]
+    return decisions.select("part_id", "action", label_for(F.col("action"), ACTION_LABELS).alias("label"), "at", *more)
 
 
 def append_label(decisions: DataFrame, path: str) -> None:
     """Append (part_id, action, at) decisions with their labels; existing lines are never rewritten."""
-    labelled(decisions).write.mode("append").option("ignoreNullFields", False).json(path)
+    labelled(decisions).select(*LABEL_COLUMNS).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def labelled_only(decisions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from partflow.operators import ranking, splits as sp
 
-START = {1: 5.0, 2: 1.0, 3: 3.0, 4: 2.0, 5: 8.0, 6: 4.0, 7: 7.0, 8: 6.0, 9: 9.0, 10: None}
+START = {i: None if i == 13 else i * 5 % 11 + 0.25 for i in range(1, 14)}
 
 
 @pytest.fixture(scope="module")
@@ -76,9 +76,9 @@ def test_splits_follow_time_and_ties_stay_together(spark, dates):
     order = {"train": 0, "validation": 1, "holdout": 2}
     rows = sorted(((r.min_ts, order[r.split]) for r in assigned.collect() if r.min_ts is not None))
     assert [r[1] for r in rows] == sorted(r[1] for r in rows)
-    assert {r.Id: r.split for r in assigned.collect()}[10] == "train"
+    assert {r.Id: r.split for r in assigned.collect()}[13] == "train"
     report = sp.split_report(assigned)
-    assert {r.split: (r.parts, r.undated) for r in report.collect()} == {"train": (7, 1), "validation": (2, 0), "holdout": (1, 0)}
+    assert {r.split: (r.parts, r.undated) for r in report.collect()} == {"train": (9, 1), "validation": (2, 0), "holdout": (2, 0)}
     sp.require_no_empty_split(report)
 
 
@@ -97,9 +97,9 @@ def test_fractions_must_sum_to_one():
 def test_views_are_disjoint_and_audited(spark, dates):
     assigned = sp.assign_splits(sp.start_times(dates))
     views = {s: sp.split_view(dates, assigned, s) for s in sp.SPLITS}
-    assert sum(v.count() for v in views.values()) == 10
+    assert sum(v.count() for v in views.values()) == 13
     assert sp.disjoint(views["train"], views["holdout"]).first().disjoint
     assert sp.holdout_audit(views["train"], assigned).first()[0] == 0
-    assert sp.holdout_audit(dates, assigned).first()[0] == 1
+    assert sp.holdout_audit(dates, assigned).first()[0] == 2
     with pytest.raises(ValueError):
         sp.first_rows(dates, 1001)

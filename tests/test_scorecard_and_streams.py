@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from partflow.operators import scorecard as sc
 from partflow.sources import logs as lg
@@ -15,7 +14,7 @@ def write(folder, name, events):
 
 
 def read(spark, folder):
-    return lg.read_jsonl_log(spark, folder, lg.TRACE_SCHEMA).withColumn("pos", F.monotonically_increasing_id())
+    return lg.read_jsonl_log(spark, folder, lg.TRACE_SCHEMA)
 
 
 def events(*items):
@@ -46,7 +45,7 @@ def test_turns_before_the_first_start_are_a_run(spark, folder):
 
 def test_one_agent_may_own_most_rows(spark):
     rows = [("hot-1" if i % 3 else f"cold{i % 7}-1", i, i, "agent_start" if i % 11 == 0 else "model_turn", float(i % 5)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "log string, at long, pos long, event string, spent_usd double").repartition(6)
+    df = spark.createDataFrame(rows, "log string, block long, pos long, event string, spent_usd double").repartition(6)
     want: dict = {}
     for log in {r[0] for r in rows}:
         peak, total = 0.0, 0.0
@@ -67,6 +66,27 @@ def test_leak_lift_is_the_first_result_of_the_newest_log(spark, folder):
     write(folder, "red-3.jsonl", events(other, result(.5)))
     assert tuple(sc.leak_lift(read(spark, folder), "leak").first()) == ("red-2", .3, .03)
     assert sc.leak_lift(read(spark, folder), "absent").count() == 0
+    write(folder, "amber-9.jsonl", events(named, result(.6)))
+    assert sc.leak_lift(read(spark, folder), "leak").first().log == "amber-9"  # by stamp, not by name
+    assert sc.leak_lift(read(spark, folder), "leak", agent="red").first().log == "red-2"
+
+
+def test_lines_keep_their_order_over_splits_and_clocks(spark, folder):
+    """Runs follow the lines of a file, though stamps are equal or go back and the file is read in many splits."""
+    lines, want = [], 0.0
+    for run in range(40):
+        lines.append({"at": f"2026-01-01T00:00:{59 - run:02d}", **START})
+        lines += [{"at": "2026-01-01T00:00:30", **turn(float(run * (i % 3)))} for i in range(20)]
+        want += run * 2.0
+    write(folder, "long-1.jsonl", lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        traces = read(spark, folder)
+        assert traces.rdd.getNumPartitions() > 10
+        assert {r.agent: r.spent_usd for r in sc.spend_by_agent(traces).collect()} == {"long": want}
+        assert sc.run_groups(traces).select("run").distinct().count() == 40
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_completeness_and_dispositions(spark, folder):
@@ -76,6 +96,7 @@ def test_completeness_and_dispositions(spark, folder):
     traces = read(spark, folder)
     assert {r.log: r.complete for r in sc.trace_completeness(traces).collect()} == {"a-1": True, "b-1": False}
     assert tuple(sc.disposition_facts(traces).first()) == (2, 1)
+    assert tuple(sc.disposition_facts(traces, "a").first()) == (0, 0)
 
 
 def test_survival_and_spend_per_point(spark):
@@ -98,7 +119,12 @@ def test_decisions_stream_labels_once(spark, folder):
     rv.append_to(stream, out, state).awaitTermination()
     write(source, "b.json", [line, {"part_id": 3, "action": "scrap", "at": "2026-01-01T00:00:02"}])
     rv.append_to(rv.label_stream(rv.decision_source(spark, source)), out, state).awaitTermination()
-    rows = spark.read.parquet(out).collect()
+    late = [{**line, "at": "2020-01-01T00:00:00"}, {**line, "action": "scrap"}]
+    write(source, "c.json", late)
+    rv.append_to(rv.label_stream(rv.decision_source(spark, source)), out, state).awaitTermination()
+    written = rv.each_once(spark.read.parquet(out))
+    assert written.where("part_id = 1").count() == 3  # the late one and the second action of the same second stay
+    rows = written.where("year(at) = 2026 AND NOT (part_id = 1 AND action = 'scrap')").collect()
     assert sorted((r.part_id, r.action, r.label) for r in rows if r.label is not None) == [(1, "ship", 0), (3, "scrap", 1)] and len(rows) == 3
 
 

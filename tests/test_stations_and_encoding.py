@@ -59,6 +59,9 @@ def test_row_local_extras(spark, tables):
     got = by_id(n.select("Id", fc.presence_pattern(cols).alias("bits"), fc.first_present(cols).alias("first"),
                          fc.normalised_spread(cols[:2]).alias("ns"), fc.present_count(cols).alias("n")))
     assert [(got[i].bits, got[i]["first"], got[i].ns, got[i].n) for i in (1, 2, 3)] == [(7, "L0_S0_F0", .5, 3), (0, None, None, 0), (5, "L0_S0_F0", 0.0, 2)]
+    wide = spark.range(1).select(*[F.when(F.lit(i % 2 == 0), 1.0).alias(f"c{i}") for i in range(130)])
+    words = wide.select(fc.presence_pattern(wide.columns).alias("w")).first().w
+    assert [(w >> i) & 1 for w in words for i in range(63)][:130] == [1 - i % 2 for i in range(130)] and len(words) == 3
     assert fc.columns_like(n, "^L1_") == ["L1_S24_F1"]
     with pytest.raises(ValueError):
         fc.columns_like(n, "^L9_")
