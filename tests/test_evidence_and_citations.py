@@ -62,10 +62,10 @@ CASES = {
     "unseen column": ({"citations": [("column", "L0_S0_F2")]}, ["L0_S0_F2 is missing from the part record"]),
     "unseen part": ({"citations": [("part", "8"), ("part", "x7"), ("part", "99999999999999999999")]}, ["part 8", "part x7", "part 99999999999999999999"]),
     "kind": ({"citations": [("web", "x")]}, ["no such kind web"]),
-    "token": ({"reason": "see L9_S9_D9 and L0_S0_F2 and L9_S9_D9, not XL0_S0_F7"}, ["reason: column L0_S0_F2 was not", "reason: column L9_S9_D9 is not"]),
-    "value": ({"out_of_range": [("L0_S0_F0", .6, 0.0, .4)]}, ["do not match"]),
-    "null value": ({"out_of_range": [("L0_S0_F0", None, 0.0, .4)]}, ["do not match"]),
-    "not outside": ({"out_of_range": [("L0_S0_F2", .6, 0.0, .4)]}, ["is not out of range on this part"]),
+    "token": ({"reason": "see L9_S9_D9 and L0_S0_F2 and L9_S9_D9, not XL0_S0_F7"}, ["reason: column L0_S0_F2 is missing from", "reason: column L9_S9_D9 names no column"]),
+    "value": ({"out_of_range": [("L0_S0_F0", .6, 0.0, .4)]}, ["quoted with other values"]),
+    "null value": ({"out_of_range": [("L0_S0_F0", None, 0.0, .4)]}, ["quoted with other values"]),
+    "not outside": ({"out_of_range": [("L0_S0_F2", .6, 0.0, .4)]}, ["lies within its range here"]),
     "missing": ({"reason": None, "route": None}, ["left out: route, reason"]),
 }
 
