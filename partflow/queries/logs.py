@@ -13,7 +13,7 @@ from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 
 ACCEPT = AcceptConfig()
-AGENT = "agent1"  # whose logs R3 and R4 read, next to those of agent10 to agent19
+AGENT = "agent1"  # whose logs R3 and R4 read: names agent1-<stamp>
 
 
 def status(spark, folder):
