@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partflow.operators.ranking import row_numbers
@@ -23,8 +23,16 @@ def column_coverage(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                     F.try_divide(F.col("e.present").cast("double"), F.col("__rows")).alias("share")))
 
 
-def select_categorical(train: DataFrame, min_count: int, min_distinct: int = 2) -> DataFrame:
-    """(name, present): categorical columns worth coding, from train only.
+MIN_SHARE = 0.0001  # fixed value: train parts with a value, as a share of all, that a categorical column needs
+
+
+def count_of_share(train: DataFrame, share: float = MIN_SHARE) -> Column:
+    """The whole number of rows that a share of a table stands for, at least one; a scalar subquery."""
+    return train.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(share)))).alias("n")).scalar()
+
+
+def select_categorical(train: DataFrame, min_count: int | Column, min_distinct: int = 2) -> DataFrame:
+    """(name, present): categorical columns worth coding, from train only. min_count may be that of a share.
 
     Coverage first. Two distinct values need only min <> max in the same aggregate row; more than two use a
     grouped count of (column, value) pairs, which combines map-side, never many COUNT DISTINCTs in one row.

@@ -35,10 +35,14 @@ def queue_order(queue: DataFrame) -> DataFrame:
     return queue.orderBy(F.col("p").desc(), F.col("id").asc())
 
 
+def band_parts(scores: DataFrame, policy: DataFrame) -> DataFrame:
+    """(part_id, score) of the parts in the policy's band, in no order: what joins with the queue need."""
+    return parts_in_band(scores, policy).select(F.col("id").alias("part_id"), F.col("p").alias("score"))
+
+
 def review_queue(scores: DataFrame, policy: DataFrame) -> DataFrame:
-    """(part_id, score) of the parts in the policy's band."""
-    band = parts_in_band(scores, policy)
-    return queue_order(band).select(F.col("id").alias("part_id"), F.col("p").alias("score"))
+    """The parts in the policy's band as a reviewer reads them."""
+    return queue_order(parts_in_band(scores, policy)).select(F.col("id").alias("part_id"), F.col("p").alias("score"))
 
 
 def undecided(queue: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -26,7 +26,11 @@ def policy(spark, folder):
 
 
 def queue(spark, folder):
-    return materialized(ev.review_queue(validation(spark, folder), policy(spark, folder)))
+    return materialized(ev.band_parts(validation(spark, folder), policy(spark, folder)))
+
+
+def ordered_queue(spark, folder):
+    return ev.review_queue(validation(spark, folder), policy(spark, folder))
 
 
 def train_long(spark, folder):
@@ -40,10 +44,10 @@ def written(spark, folder):
 
 
 def evidence(spark, folder):
-    f = b.feature_table(spark, folder).select("Id", "route")
-    return ev.part_evidence(queue(spark, folder), measurements_long(b.numeric(spark, folder), "numeric"),
+    f, band = b.feature_table(spark, folder).select("Id", "route"), policy(spark, folder)
+    return ev.part_evidence(materialized(ev.band_parts(validation(spark, folder), band)), measurements_long(b.numeric(spark, folder), "numeric"),
                             measurements_long(b.dates(spark, folder), "date"), f,
-                            ev.normal_ranges(train_long(spark, folder), exact=True), policy(spark, folder))
+                            ev.normal_ranges(train_long(spark, folder), exact=True), band)
 
 
 def e3(spark, folder):
@@ -198,7 +202,7 @@ QUERIES = [
     Query("A8_normal_ranges_sketch", a8_approx),
     Query("A9_column_moments", a9, b.with_ctes(NAMES, " UNION ALL ".join(f"SELECT '{c}' AS name, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM ntrain" for c in NEAR),
                                           QUEUE + ", " + NEAR_CTES), ["mean", "std"]),
-    Query("E1_review_queue", lambda s, d: queue(s, d), b.with_ctes("scores splits", "SELECT * FROM queue", QUEUE)),
+    Query("E1_review_queue", ordered_queue, b.with_ctes("scores splits", "SELECT * FROM queue", QUEUE)),
     Query("O3_queue_order", lambda s, d: ev.queue_order(b.scores(s, d)), b.with_ctes("scores", "SELECT * FROM scores ORDER BY p DESC, id")),
     Query("E2_open_queue", e2,
           b.with_ctes("scores splits decisions", "SELECT part_id, score, part_id % 3 = 0 AS has_disposition, (SELECT count(*) FROM o) AS total, "

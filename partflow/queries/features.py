@@ -103,7 +103,7 @@ def p15(spark, folder):
 
 def a5(spark, folder):
     train = split_view(b.categorical(spark, folder), b.split_table(spark, folder), "train")
-    return en.select_categorical(train, 100)
+    return en.select_categorical(train, en.count_of_share(train))
 
 
 def a5_three(spark, folder):
@@ -184,7 +184,7 @@ QUERIES = [
           b.with_ctes("num", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS present, CAST(count({c}) AS DOUBLE) / count(*) AS share FROM num" for c in flat(NUM))), ["share"]),
     Query("A5_select_categorical", a5,
           b.with_ctes("catlong splits", "SELECT name, count(*) AS present FROM catlong WHERE Id IN (SELECT Id FROM splits WHERE split = 'train') GROUP BY name "
-                                        "HAVING count(*) >= 100 AND count(DISTINCT value) >= 2")),
+                                        "HAVING count(*) >= (SELECT greatest(1, CAST(floor(count(*) * CAST(0.0001 AS DOUBLE)) AS BIGINT)) FROM splits WHERE split = 'train') AND count(DISTINCT value) >= 2")),
     Query("A5_select_categorical_min_distinct", a5_three,
           b.with_ctes("catlong splits", "SELECT name, count(*) AS present FROM catlong WHERE Id IN (SELECT Id FROM splits WHERE split = 'train') GROUP BY name "
                                         "HAVING count(*) >= 100 AND count(DISTINCT value) >= 4")),

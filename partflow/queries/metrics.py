@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partflow.operators import metrics as m
-from partflow.plans.holdout import decision_metrics
 from partflow.operators.cost import build_policy
+from partflow.operators.splits import start_times
+from partflow.plans.ensemble import early_stopping_tail
+from partflow.plans.holdout import decision_metrics
 from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 from partflow.queries.sqlparts import dollars_sql, mcc_sql, policy_sql, sweep_sql
@@ -40,8 +42,13 @@ def m11(spark, folder):
 
 
 def m8(spark, folder):
-    validation, tail = (materialized(b.split_scores(spark, folder, s)) for s in ("validation", "train"))
-    return m.threshold_report(validation, tail, draws=200).drop("mcc_p05", "mcc_p95")
+    """The tail is the latest share of the train parts; the interval is random, so only whether it holds the point is compared."""
+    validation, train = (b.split_scores(spark, folder, s) for s in ("validation", "train"))
+    begun = start_times(b.dates(spark, folder)).join(train.select(F.col("id").alias("Id")), "Id", "left_semi").withColumnRenamed("min_ts", "start_ts")
+    latest = early_stopping_tail(begun, 0.15).where("in_tail").select(F.col("Id").alias("id"))
+    report = m.threshold_report(materialized(validation), materialized(train.join(latest, "id", "left_semi")))
+    held = F.col("validation_mcc").between(F.col("mcc_p05"), F.col("mcc_p95"))
+    return report.withColumn("interval_holds_mcc", held).drop("mcc_p05", "mcc_p95")
 
 
 def bootstrap(spark, folder):
@@ -84,13 +91,14 @@ QUERIES = [
     Query("M7_bootstrap_mcc", bootstrap, b.with_ctes("scores", "SELECT count(*) > 0 AS low_ok, count(*) > 0 AS high_ok FROM scores")),
     Query("M7_bootstrap_interval", lambda s, d: m.bootstrap_mcc(b.scores(s, d), 0.25, draws=500, seed=0)),
     Query("M8_threshold_report", m8,
-          b.with_ctes("scores splits",
-                      "SELECT v.mcc AS validation_mcc, v.threshold, v.tp, v.fp, v.tn, v.fn, t.threshold AS train_tail_threshold, "
+          b.with_ctes("scores splits starts",
+                      "SELECT true AS interval_holds_mcc, v.mcc AS validation_mcc, v.threshold, v.tp, v.fp, v.tn, v.fn, t.threshold AS train_tail_threshold, "
                       "(SELECT mcc FROM asweep ORDER BY abs(threshold - t.threshold), threshold LIMIT 1) AS validation_mcc_at_train_tail_threshold, "
                       "CASE WHEN v.mcc > 0.4 THEN 'leakage' WHEN v.mcc < 0.12 THEN 'broken' ELSE 'ok' END AS verdict FROM "
                       "(SELECT * FROM asweep ORDER BY mcc DESC, threshold LIMIT 1) v, (SELECT * FROM bsweep ORDER BY mcc DESC, threshold LIMIT 1) t",
                       "val AS (SELECT c.* FROM scores c JOIN splits s ON s.Id = c.id WHERE split = 'validation'), "
-                      "trn AS (SELECT c.* FROM scores c JOIN splits s ON s.Id = c.id WHERE split = 'train'), "
+                      "late AS (SELECT s.Id, row_number() OVER (ORDER BY s.min_ts DESC, s.Id DESC) AS r FROM starts s JOIN splits p ON p.Id = s.Id WHERE split = 'train' AND s.min_ts IS NOT NULL), "
+                      "trn AS (SELECT c.* FROM scores c JOIN late ON late.Id = c.id WHERE r <= (SELECT CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT) FROM splits WHERE split = 'train')), "
                       + sweep_sql("val", "a") + ", " + sweep_sql("trn", "b")),
           ["validation_mcc", "validation_mcc_at_train_tail_threshold"]),
     Query("M9_per_seed_mcc", lambda s, d: m.per_seed_mcc(seeded_scores(s, d)),
