@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,7 +68,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node.append(digest_of(shingles) if len(shingles) else None)
             n.append(len(shingles))
             counted.append(int(np.searchsorted(shingles, np.uint64(COUNTED_BELOW))))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counted, pa.int64())], names=["doc_id", "node", "n_shingles", "n_counted"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counted, pa.int64())], names=["doc_id", "key", "node", "n_shingles", "n_counted"])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,34 @@ def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packs = [s.tobytes() for _, s in _sets(batch)]
-        yield pa.record_batch([batch.column("region"), batch.column("node"), pa.array(packs, pa.binary())], names=["region", "node", "shingles"])
+        yield pa.record_batch([*[batch.column(c) for c in ("region", "node", "repeated")], pa.array(packs, pa.binary())], names=["region", "node", "repeated", "shingles"])
+
+
+def row_key() -> Column:
+    """Names a row by its id and its text: a null id and two texts under one id have keys of their own."""
+    return F.xxhash64("doc_id", "text")
+
+
+def linked_rows(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """doc_id, key, n_shingles, component, component_id of each row; component names the class of a row, with or without
+    ids, and is null for a text without words."""
+    described = stored(docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(_described, "doc_id long, key long, node long, n_shingles long, n_counted long"), "described")
+    regions = components(candidate_edges(docs, described))
+    texts = described.filter("node IS NOT NULL").groupBy("node", "key").agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("repeated"))
+    owner = texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("key", "repeated")).alias("text"))
+    wanted = owner.join(regions, "node").select("text.*", "node", F.col("component").alias("region"))
+    rows = docs.select(row_key().alias("key"), "text").join(wanted, "key").select("region", "node", "repeated", "text")
+    packed = stored(rows.mapInArrow(_packed_sets, "region long, node long, repeated boolean, shingles binary"), "members")
+    again = packed.filter("repeated").groupBy("region", "node").agg(F.first("shingles").alias("shingles"))
+    members = packed.filter("NOT repeated").select("region", "node", "shingles").unionByName(again)
+    links = components(region_links(members, limit))
+    least = owner.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = salted_join(least.select("node", "component"), heads, ["component"]).select("node", "component", "component_id")
+    columns = ["doc_id", "key", "n_shingles", "component", "component_id"]
+    full = salted_join(described.filter("node IS NOT NULL"), named, ["node"]).select(*columns)
+    alone = described.filter("node IS NULL").withColumns({"component": F.col("node"), "component_id": F.col("doc_id")})
+    return full.unionByName(alone.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
@@ -258,17 +285,7 @@ def near_duplicates(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
 
     Words are lower-cased by A-Z only. A text without words has an empty set and no link; a text of fewer than five words is
     one shingle. Equal sets are one node (named by 64 bits), so copies cost one row each. Rows that repeat a doc_id are rows
-    of their own. An empty table gives no rows.
+    of their own, with the links of their own text; so are rows with a null id, which link others but name a component only
+    where none of its rows has an id: then it is null. An empty table gives no rows.
     """
-    described = stored(docs.select("doc_id", "text").mapInArrow(_described, "doc_id long, node long, n_shingles long, n_counted long"), "described")
-    regions = components(candidate_edges(docs, described))
-    owner = described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = owner.join(regions, "node").select("doc_id", "node", F.col("component").alias("region"))
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("region", "node", "text")
-    members = stored(rows.mapInArrow(_packed_sets, "region long, node long, shingles binary"), "members")
-    links = components(region_links(members, limit))
-    least = owner.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = salted_join(least.select("node", "component"), heads, ["component"]).select("node", "component_id")
-    full = salted_join(described.filter("node IS NOT NULL"), named, ["node"]).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(described.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return linked_rows(docs, limit).select("doc_id", "n_shingles", "component_id")

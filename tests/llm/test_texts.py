@@ -101,6 +101,23 @@ def test_near_duplicates(odd, odd_rows, none):
     assert near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_without_ids_and_with_shared_ids(spark):
+    words = [f"w{i}" for i in range(900)]
+    near = lambda at, change: " ".join(f"c{at + i}" if i in change else w for i, w in enumerate(words[at : at + 100]))
+    rows = [(None, near(0, ())), (7, near(0, (50,))), (8, near(200, ())), (8, near(0, (99,))), (9, near(200, (0,))), (3, near(400, ())), (4, near(400, (50, 99)))]
+    rows += [(None, near(400, (50,))), (None, near(600, ())), (None, near(600, (99,))), (None, near(600, ())), (5, near(800, ())), (5, near(800, ()))]
+    rows += [(20, near(700, ())), (None, near(700, (20, 40))), (21, near(700, (20, 40, 60, 80)))]  # only the row without id links 20 with 21
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    found, least = groups(sets), collections.defaultdict(list)
+    for g, (d, _) in zip(found, rows, strict=True):
+        least[g] += [] if d is None else [d]
+    want = [(d, 96, min(least[g], default=None)) for (d, _), g in zip(rows, found, strict=True)]
+    assert (8, 96, 7) in want and (8, 96, 8) in want and (21, 96, 20) in want and (4, 96, 3) in want
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (3_000_000, 100):
+        assert counted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, limit).collect()) == counted(want)
+
+
 def test_region_join_is_exact_on_chains():
     rng, dice = np.random.default_rng(3), random.Random(4)
     for _ in range(25):
