@@ -280,6 +280,21 @@ def linked_rows(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     return full.unionByName(alone.select(*columns))
 
 
+def first_copies(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, a null id last. Of rows that repeat id and text the
+    one whose other columns are smallest stays. Texts without words have no component and all stay."""
+    rows = linked_rows(docs, limit)
+    texts = rows.filter("component IS NOT NULL").groupBy("component", "doc_id", "key").agg((F.count("*") > 1).alias("repeated"))
+    firsts = texts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "repeated")).alias("first"))
+    alone = rows.filter("component IS NULL").select("key", F.lit(False).alias("repeated")).distinct()
+    kept = stored(firsts.select("first.key", "first.repeated").unionByName(alone), "first-copies")
+    keyed = docs.withColumn("__key", row_key())
+    pick = lambda rows: keyed.join(kept.filter(rows).select(F.col("key").alias("__key")), "__key", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = pick("repeated").groupBy("__key").agg(F.min(F.struct(*others, "doc_id", "text")).alias("__row"))
+    return pick("NOT repeated").select(*docs.columns).unionByName(again.select("__row.*").select(*docs.columns))
+
+
 def near_duplicates(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least 0.8 likeness, itself included).
 

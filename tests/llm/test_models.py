@@ -184,6 +184,25 @@ def test_pipeline_stages(spark, odd, none):
             assert all(r.n_chars == len(r.text) for r in texts.values())
 
 
+def test_pipeline_keeps_one_row_of_repeats_and_null_ids(spark, odd, odd_rows):
+    steps = dict(corpus_pipeline.STAGES)
+    words = [f"w{i}" for i in range(400)]
+    near = lambda at, *change: " ".join("other" if i in change else w for i, w in enumerate(words[at : at + 100]))
+    more = [(1, near(0)), (1, near(0)), (None, near(100)), (None, near(100)), (None, near(100, 50)), (None, near(0, 50)), (2, near(200)), (2, near(300)), (4, near(300, 50)), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", len(t)) for i, (d, t) in enumerate(more)], odd.select(*corpus_pipeline.COLUMNS).schema).repartition(3)
+    frame = stored(steps["jaccard_join"](spark, docs, SMALL), "jaccard_join")
+    kept = counted(tuple(r)[:2] for r in frame.collect())
+    assert len(kept) == 6 and kept in ([*counted([(1, near(0)), (2, near(200)), (2, near(300)), (5, ""), (6, ""), (None, near(100, *c))])] for c in ((), (50,)))
+    assert [r.source for r in frame.filter("doc_id = 1").collect()] == ["s0"]
+    frame = stored(steps["substring_dedup"](spark, frame, SMALL), "substring_dedup")
+    assert counted(tuple(r)[:2] for r in frame.collect()) == kept  # one copy stays and loses nothing
+    frame = odd.select(*corpus_pipeline.COLUMNS)
+    for name in list(steps)[:-1]:
+        frame = stored(steps[name](spark, frame, SMALL), name)
+    rows = frame.collect()
+    assert sum(r.doc_id == 9 for r in rows) == 1 and sum(r.doc_id is None for r in rows) == sum(d is None for d, *_ in odd_rows)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     ids = {r.doc_id for r in corpus_pipeline.run(spark, SMALL).select("doc_id").distinct().collect()}
