@@ -16,8 +16,11 @@ from partflow.llm.language import held_out, identify_languages, learn_languages
 from partflow.llm.licenses import scan_licenses, scan_sql
 from partflow.llm.lines import dedup_lines
 from partflow.llm.packing import pack
+from partflow.llm.phrases import collocations
 from partflow.llm.quality import judge, measured, quality_sql
+from partflow.llm.simhash import simhash_duplicates
 from partflow.llm.substrings import dedup_substrings
+from partflow.llm.trie import prefix_trie
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +96,48 @@ def chat_sql() -> str:
       sum(length({name}) + length({body}) + {len(OPEN) + 1 + len(CLOSE)})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_duplicates(read(spark, folder, "documents"))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(read(spark, folder, "conversations")).drop("n_ends")
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read(spark, folder, "documents"))
+
+
+# CRC-32 of the decimal digits of conv_id, bit by bit: 3988292384 is the fixed reflected polynomial, 4294967295 start and final mask
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+      lambda crc, byte: list_reduce([xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)"""
+
+TRIE_SQL = f"""WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT conv_id, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+    stems AS (SELECT c.conv_id, c.h, least(c.h, count(b.pos))::BIGINT AS stem FROM convs c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100 GROUP BY c.conv_id, c.h),
+    turns AS (SELECT s.conv_id, b.pos AS depth, b.role, b.text FROM stems s JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 100 AND b.pos <= s.stem
+      UNION ALL SELECT o.conv_id, o.pos - s.h + s.stem, o.role, o.text FROM own o JOIN stems s USING (conv_id) WHERE o.pos > s.h),
+    prefixes AS (SELECT conv_id, depth, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '|') OVER (PARTITION BY conv_id ORDER BY depth)) AS p, length(text) AS chars, count(*) OVER (PARTITION BY conv_id) AS turns FROM turns
+      UNION ALL SELECT s.conv_id, 0, '', 0, (SELECT count(*) FROM turns t WHERE t.conv_id = s.conv_id) FROM stems s),
+    nodes AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, count(*) FILTER (depth = turns) AS n_ends, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = turns), '') AS ends FROM prefixes GROUP BY p, depth),
+    ups AS (SELECT n.p, n.depth, u.p AS up, u.depth AS up_depth, u.conv_id AS up_conv FROM nodes n JOIN prefixes x ON x.p = n.p AND x.depth = n.depth AND x.conv_id = n.conv_id JOIN prefixes y ON y.conv_id = x.conv_id AND y.depth <= x.depth JOIN nodes u ON u.p = y.p AND u.depth = y.depth),
+    below AS (SELECT a.up AS p, a.up_depth AS depth, count(*) FILTER (a.depth = a.up_depth + 1) AS n_children, count(*) FILTER (n.n_ends = n.n_convs) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens FROM ups a JOIN nodes n ON n.p = a.p AND n.depth = a.depth GROUP BY ALL)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, u.up_conv AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM nodes n JOIN below b ON b.p = n.p AND b.depth = n.depth LEFT JOIN ups u ON u.p = n.p AND u.depth = n.depth AND u.up_depth = n.depth - 1"""
+
+PHRASE_SQL = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    counts AS (SELECT lang, k, p, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p FROM words, (VALUES (1), (2), (3)) ks(k)) GROUP BY lang, k, p),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+    wide AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+    cuts AS (SELECT c.lang, c.p, c.a, c.j, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM wide) c JOIN counts l ON l.lang = c.lang AND l.p = array_to_string(c.w[1:c.j], ' ') JOIN counts r ON r.lang = c.lang AND r.p = array_to_string(c.w[c.j + 1:], ' ')),
+    worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+    held AS (SELECT lang, p, max(a) AS longer FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p, a FROM wide WHERE k = 3) GROUP BY lang, p),
+    rest AS (SELECT x.* FROM worst x LEFT JOIN held h ON h.lang = x.lang AND h.p = x.p WHERE h.longer IS NULL OR 100 * h.longer < 50 * x.a)
+    SELECT lang, rank, p AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank FROM rest) JOIN totals USING (lang) WHERE rank <= 2000"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1,
     "op2_license_scan": op2,
@@ -104,5 +149,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8,
     "op9_best_fit_packing": op9,
     "op10_chat_trees": op10,
+    "op11_simhash_dedup": op11,
+    "op12_prefix_trie": op12,
+    "op13_phrase_mining": op13,
 }
-SQL: dict[str, str] = {"op2_license_scan": scan_sql(), "op6_quality_rules": quality_sql(), "op10_chat_trees": chat_sql()}
+SQL: dict[str, str] = {"op2_license_scan": scan_sql(), "op6_quality_rules": quality_sql(), "op10_chat_trees": chat_sql(), "op12_prefix_trie": TRIE_SQL, "op13_phrase_mining": PHRASE_SQL}
