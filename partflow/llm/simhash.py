@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partflow.llm.common import dropped, salted_join, signed, stored
+from partflow.llm.bits import all_set, bit_table, cell_ids
+from partflow.llm.common import dropped, mixed, salted_join, signed, stored
 from partflow.llm.graph import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 DENSE = 1024  # fingerprints of one key that are compared with each other; a key with more goes the way of `_midpoints`
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width of each segment of a fingerprint
 GENERATOR, CHECK_BITS, CODE_BITS = 0xC75, 11, 23  # the binary Golay code: every 23-bit word lies within 3 bits of one codeword
+PROBES = 3
 
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 _HASH_BLOCK = 1 << 16  # shingles whose bits are unpacked at a time
@@ -128,9 +130,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_prints = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
         for at in range(0, len(all_prints), 1024):
-            prints = all_prints[at : at + 1024]
-            keys, places = fuzzy_keys(prints)
-            yield pa.record_batch([pa.array(keys), signed(prints[places])], names=["key", "fingerprint"])
+            yield pa.record_batch([pa.array(fuzzy_keys(all_prints[at : at + 1024])[0])], names=["key"])
+
+
+def _cells(keys: np.ndarray, log_bits: int) -> np.ndarray:
+    one = mixed(keys.astype(np.uint64))
+    return cell_ids(one, mixed(one ^ np.uint64(GENERATOR)), PROBES, log_bits)
+
+
+def _marked(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the keys and the logarithm of its bits: 16 a key, but never more than 2**28, which are 32 MB."""
+    log_bits = min(28, max(20, (16 * keys.count()).bit_length()))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _cells(batch.column("key").to_numpy(zero_copy_only=False), log_bits)
+            yield pa.record_batch([pa.array(found.ravel())], names=["cell"])
+
+    return bit_table(keys.select("key").mapInArrow(cells, "cell long"), log_bits), log_bits
 
 
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +196,32 @@ def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect exactly what links of at most four differing bits connect.
 
-    prints: distinct fingerprints. Keys are counted first, so only keys with company are joined. Up to `dense` fingerprints of
-    a key are compared in one task; those of larger keys meet at midpoints instead, in groups of bounded size.
+    prints: distinct fingerprints. Keys are counted first. Those with company, and those with more than `dense` fingerprints,
+    are marked in Bloom filters of bounded size, so that lonely keys are not dealt again. Up to `dense` fingerprints of a key
+    are compared in one task; a key that may have more sends its fingerprints to midpoints instead, in groups of bounded
+    size. A filter's false hits cost work and change nothing.
     """
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.select("fingerprint").repartition(tasks, "fingerprint").mapInArrow(_keyed, "key long, fingerprint long")
-    company = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys")
-    cold = keyed.join(company.filter(F.col("n") <= dense), "key").groupBy("key").agg(F.collect_list("fingerprint").alias("prints"))
+    dealt = prints.select("fingerprint").repartition(tasks, "fingerprint")
+    company = stored(dealt.mapInArrow(_keyed, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-keys")
+    filters = prints.sparkSession.sparkContext.broadcast([_marked(company), _marked(company.filter(F.col("n") > dense))])
+
+    def accompanied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys with company; of a crowded one no more than that it is."""
+        for batch in batches:
+            all_prints = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(all_prints), 1024):
+                part = all_prints[at : at + 1024]
+                keys, places = fuzzy_keys(part)
+                met, crowded = (all_set(table, _cells(keys, log_bits)) for table, log_bits in filters.value)
+                full = np.unique(places[met & crowded])
+                met &= ~crowded
+                yield pa.record_batch([pa.array(np.concatenate([keys[met], np.full(len(full), -1)])), signed(np.concatenate([part[places[met]], part[full]]))], names=["key", "fingerprint"])
+
+    keyed = dealt.mapInArrow(accompanied, "key long, fingerprint long")
+    cold = keyed.filter("key >= 0").groupBy("key").agg(F.collect_list("fingerprint").alias("prints")).filter(F.size("prints") > 1)  # at most `dense`
     pairs = cold.select("prints").mapInArrow(_verified, "a long, b long")
-    crowded = salted_join(keyed, company.filter(F.col("n") > dense).select("key"), ["key"]).select("fingerprint").distinct()
-    at_points = crowded.repartition(tasks, "fingerprint").mapInArrow(_midpoints, "point long, fingerprint long")
+    at_points = keyed.filter("key < 0").select("fingerprint").repartition(tasks, "fingerprint").mapInArrow(_midpoints, "point long, fingerprint long")
     met = at_points.groupBy("point").agg(F.min("fingerprint").alias("b"), F.collect_list("fingerprint").alias("prints")).filter(F.size("prints") > 1)
     stars = met.select(F.explode("prints").alias("a"), "b").filter("a <> b")
     return pairs.unionByName(stars).distinct()
