@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 from array import array
 from collections.abc import Iterator
 
@@ -11,10 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 300_000, 250_000  # what a worker remembers; a full table is emptied and filled anew
+# What a worker remembers; a full table is emptied and filled anew. With a vocabulary of 50,000 entries a worker holds about 100 MB.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_BYTES = 40_000, 60_000, 150_000, 8 << 20
 ROOT, NONE, NEVER = 0, -1, 1 << 40
 LOOKAHEAD = 256  # prefixes kept before it is worth looking for a place to emit
 DECODE_IDS = 1 << 16  # ids decoded at a time
+ROWS = 256  # rows handed on at a time
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -33,33 +36,33 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {r: b for b, r in ranks.items()}
-        self.size = {r: len(b) for b, r in ranks.items()}
-        self.next: list[dict[int, int]] = [{}]
-        self.token: list[int] = [NONE]
+        self.next: dict[int, int] = {}  # trie node << 8 | byte -> node
+        self.token = array("i", [NONE])  # of each node
+        self.inner = bytearray(1)  # whether a node has children
         for piece, rank in ranks.items():
             node = ROOT
             for byte in piece:
-                if byte not in self.next[node]:
-                    self.next[node][byte] = len(self.next)
-                    self.next.append({})
+                grown = self.next.setdefault(node << 8 | byte, len(self.token))
+                if grown == len(self.token):
                     self.token.append(NONE)
-                node = self.next[node][byte]
+                    self.inner.append(0)
+                    self.inner[node] = 1
+                node = grown
             self.token[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> state << 32 | token + 1
         self._state(((ROOT, NONE),))
 
     def _state(self, state: tuple) -> int:
         at = self.ids.setdefault(state, len(self.states))
         if at == len(self.states):
             self.states.append(state)
-            self.moves.append({})
         return at
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -78,8 +81,9 @@ class Transducer:
     def apart(self, left: int, right: int) -> bool:
         """Whether merging keeps the border between two tokens. Their merges are undone from the latest; the border falls
         if some pair over it would have merged before the merge that was undone last."""
-        if (left, right) in self.fits:
-            return self.fits[left, right]
+        pair = left << 32 | right
+        if pair in self.fits:
+            return self.fits[pair]
         a, b, limit, kept = left, right, NEVER, True
         while kept:
             kept = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], NEVER) >= limit
@@ -92,28 +96,28 @@ class Transducer:
                 limit, b = b + 1, undo_b[0]  # and here the one over the border
         if len(self.fits) >= MAX_PAIRS:
             self.fits.clear()
-        self.fits[left, right] = kept
+        self.fits[pair] = kept
         return kept
 
-    def _move(self, at: int, byte: int) -> tuple[int, int]:
+    def _move(self, at: int, byte: int) -> int:
         grown, ended = [], NONE
         for node, last in self.states[at]:
-            node = self.next[node].get(byte)
+            node = self.next.get(node << 8 | byte)
             if node is None:
                 continue
             token = self.token[node]
-            if ended == NONE and token != NONE and (self.size[token] == 1 or self.split(token) is not None) and (last == NONE or self.apart(last, token)):
+            if ended == NONE and token != NONE and (len(self.bytes_of[token]) == 1 or self.split(token) is not None) and (last == NONE or self.apart(last, token)):
                 ended = token
-            if self.next[node]:
+            if self.inner[node]:
                 grown.append((node, last))
         grown.append((ROOT, ended))
-        return self._state(tuple(grown)), ended
+        return self._state(tuple(grown)) << 32 | ended + 1
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one match of the pattern."""
         if len(self.states) > MAX_STATES:
             self._forget()
-        moves, size, at = self.moves, self.size, 0
+        moves, bytes_of, at = self.moves, self.bytes_of, 0
         out: list[int] = []
         ends: list[int] = []  # the last token of each prefix not yet emitted
 
@@ -121,16 +125,16 @@ class Transducer:
             i, back = len(ends), []
             while i:
                 back.append(ends[i - 1])
-                i -= size[ends[i - 1]]
+                i -= len(bytes_of[ends[i - 1]])
             out.extend(reversed(back))
             ends.clear()
 
         for byte in piece:
-            move = moves[at].get(byte)
+            move = moves.get(at << 8 | byte)
             if move is None:
-                move = moves[at][byte] = self._move(at, byte)
-            at, last = move
-            ends.append(last)
+                move = moves[at << 8 | byte] = self._move(at, byte)
+            at = move >> 32
+            ends.append((move & 0xFFFFFFFF) - 1)
             if len(ends) >= LOOKAHEAD and len(self.states[at]) == 1:
                 emit()
         emit()
@@ -164,65 +168,94 @@ class Utf8Stream:
 
 
 class PieceEncoder(dict):
-    """Packed ids of each match of the pattern met so far."""
+    """Packed ids of each match of the pattern met so far. Long matches are not remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.machine, self.matches = Transducer(ranks), regex.compile(pattern)
+        self.machine, self.matches, self.held = Transducer(ranks), regex.compile(pattern), 0
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self[piece] = array("I", self.machine.encode(piece.encode())).tobytes()
+        packed = array("I", self.machine.encode(piece.encode())).tobytes()
+        if len(piece) <= LOOKAHEAD:
+            self.held += len(piece)
+            self[piece] = packed
         return packed
 
     def encoded(self, text: str | None) -> bytes:
-        if len(self) > MAX_PIECES:
+        if len(self) > MAX_PIECES or self.held > MAX_PIECE_BYTES:
             self.clear()
+            self.held = 0
         return b"".join(map(self.__getitem__, self.matches.findall(text))) if text else b""
 
+    def decoded(self, packed: bytes | None) -> str:
+        return decoded(packed, self.machine.bytes_of)
+
+
+def decoded(packed: bytes | None, bytes_of: dict[int, bytes]) -> str:
+    """The text that packed ids stand for, decoded a bounded number of ids at a time."""
+    ids, stream, out = np.frombuffer(packed or b"", "<u4"), Utf8Stream(), []
+    for at in range(0, len(ids), DECODE_IDS):
+        out.append(stream.feed(b"".join(map(bytes_of.__getitem__, ids[at : at + DECODE_IDS].tolist()))))
+    return "".join(out) + stream.close()
+
+
+@functools.lru_cache(1)
+def _entries(content: bytes) -> dict[int, bytes]:
+    return {r: b for b, r in parse_ranks(content).items()}
+
 
 _encoders: dict[tuple[int, str], PieceEncoder] = {}
 
 
 def _encoder(content: bytes, pattern: str) -> PieceEncoder:
-    """One encoder a Python worker, kept between tasks."""
+    """One encoder a Python worker, kept between tasks; another vocabulary takes its place."""
     key = (hash(content), pattern)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = PieceEncoder(parse_ranks(content), pattern)
     return _encoders[key]
 
 
-def encode_bpe(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each text; a null or empty text has none.
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
+
+def transcode_bpe(docs: DataFrame, rank_file: str, pattern: str, decode: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each text, and `text`, the text decoded from the ids.
+
+    Both directions are one pass with one vocabulary a worker. A null or empty text has no ids and decodes to the empty text.
     rank_file is read once on the driver and sent to the workers: a vocabulary has a fixed size. Rows keep their order and
-    number; rows that repeat are encoded alike.
+    number; rows that repeat are encoded alike; columns other than doc_id and text are not read; an empty table gives no rows.
     """
     content = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())
+    names = ["doc_id", "n_tokens", "ids", *(["text"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             encoder = _encoder(content.value, pattern)
-            ids = [encoder.encoded(text) for text in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids = [encoder.encoded(text.as_py()) for text in batch.column("text")]
+            columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.record_batch(columns + ([pa.array(map(encoder.decoded, ids), pa.string())] if decode else []), names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary" + (", text string" if decode else ""))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+def encode_bpe(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids of each text; see transcode_bpe."""
+    return transcode_bpe(docs, rank_file, pattern, decode=False)
 
 
 def decode_bpe(rows: DataFrame, rank_file: str) -> DataFrame:
-    """The columns of rows with ids replaced by the text they stand for, decoded piece by piece."""
+    """The columns of rows with ids replaced by the text they stand for, decoded piece by piece; null ids give an empty text."""
     content = rows.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())
     names = [c for c in rows.columns if c != "ids"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {r: b for b, r in parse_ranks(content.value).items()}
-        for batch in batches:
-            texts = []
-            for packed in batch.column("ids").to_pylist():
-                ids, stream, out = np.frombuffer(packed or b"", "<u4"), Utf8Stream(), []
-                for at in range(0, len(ids), DECODE_IDS):
-                    out.append(stream.feed(b"".join(map(pieces.__getitem__, ids[at : at + DECODE_IDS].tolist()))))
-                texts.append("".join(out) + stream.close())
+        for batch in _slices(batches):
+            texts = [decoded(packed.as_py(), _entries(content.value)) for packed in batch.column("ids")]
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
     return rows.mapInArrow(run, f"{kinds}, text string")
