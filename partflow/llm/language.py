@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ LANDMARKS = 40  # a language
 RIDGE = 1e-3
 ROWS = 256  # blocks a matrix product
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # categories Lu, Ll, Lt, Lm and Lo; numbers such as Ⅷ, ½ and ① are no letters
 
 
 @dataclass
