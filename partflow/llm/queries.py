@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partflow.llm.chat import ESCAPES, OPEN, CLOSE, format_trees, linear_nodes, masked, read_back
-from partflow.llm.bpe import decode_bpe, encode_bpe
+from partflow.llm.bpe import transcode_bpe
 from partflow.llm.common import read, stored
 from partflow.llm.fingerprints import fingerprint_chain
 from partflow.llm.jaccard import near_duplicates
 from partflow.llm.language import held_out, identify_languages, learn_languages
 from partflow.llm.licenses import scan_licenses, scan_sql
 from partflow.llm.lines import dedup_lines
-from partflow.llm.packing import pack
+from partflow.llm.packing import added_tokens, pack
 from partflow.llm.phrases import collocations
 from partflow.llm.quality import judge, measured, quality_sql
 from partflow.llm.simhash import simhash_duplicates
@@ -44,9 +44,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode_bpe(read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    back = decode_bpe(ids.withColumn("ids_sha256", F.sha2("ids", 256)), ranks)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    both = transcode_bpe(read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +67,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 CONTROL = "</s>[INST] ok [/INST]"  # what conversation -7 says

@@ -33,7 +33,10 @@ def test_bpe_matches_the_library_and_decodes(odd, odd_rows, none):
     library = by_library("byte_bpe_multi_50k.tiktoken")
     want = [(d, np.asarray(library.encode_ordinary(t or ""), "<u4").tobytes(), t or "") for d, t, *_ in odd_rows]
     assert counted((r.doc_id, bytes(r.packed), r.text) for r in rows) == counted(want)
-    assert bpe.encode_bpe(none, MULTI, public_tokenizers.PATTERN).collect() == []
+    both = bpe.transcode_bpe(odd, MULTI, public_tokenizers.PATTERN).collect()
+    assert counted((r.doc_id, bytes(r.ids), r.text) for r in both) == counted(want) and all(4 * r.n_tokens == len(r.ids) for r in both)
+    for empty in (bpe.encode_bpe(none, MULTI, public_tokenizers.PATTERN), bpe.transcode_bpe(none, MULTI, public_tokenizers.PATTERN)):
+        assert empty.collect() == [] and bpe.decode_bpe(empty, MULTI).collect() == []
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
@@ -82,15 +85,29 @@ def pieces(n, length):
 
 def test_packing(odd, odd_rows, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     wanted = {}
     for d, t, *_ in odd_rows:
         wanted.setdefault(d, []).append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    n = packed_right(packing.pack(odd.coalesce(1), ranks, public_tokenizers.PATTERN).collect(), wanted)
+    assert any(50256 in ids for x in wanted.values() for ids in x)  # the added token stands in a text
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    n = packed_right(packing.pack(odd.coalesce(1), ranks, public_tokenizers.PATTERN, added=added).collect(), wanted)
     assert n <= sum(len(i) for x in wanted.values() for i in x) / 1024 * 1.1 + 1
-    packed_right(packing.pack(odd, ranks, public_tokenizers.PATTERN, open_bins=2).collect(), wanted)
-    assert packing.pack(none, ranks, public_tokenizers.PATTERN).collect() == []
+    packed_right(packing.pack(odd, ranks, public_tokenizers.PATTERN, open_bins=2, added=added).collect(), wanted)
+    assert packing.pack(none, ranks, public_tokenizers.PATTERN, added=added).collect() == []
+
+
+def test_packing_hardly_depends_on_the_cut_of_the_table(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    ranks, counts = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
+    for partitions in (1, 8, 400):
+        rows = packing.pack(docs.repartition(partitions), ranks, public_tokenizers.PATTERN).select("sequence_id", "length").collect()
+        counts.append(len({r.sequence_id for r in rows}))
+    least = -(-sum(r.length for r in rows) // 1024)
+    assert max(counts) <= 1.01 * min(counts) and min(counts) <= 1.02 * least
+    monkeypatch.setattr(packing, "SECOND_TASK_TOKENS", 100_000)  # several tasks in the second pass
+    rows = packing.pack(docs.repartition(64), ranks, public_tokenizers.PATTERN).collect()
+    assert sum(r.length for r in rows) > 900_000 and len({r.sequence_id >> 36 for r in rows if r.sequence_id >> 62}) > 3
 
 
 def test_open_bins_close_the_fullest_first():
@@ -113,6 +130,25 @@ def test_language_on_held_out_documents(spark, odd, none):
     assert language.identify_languages(none, model).collect() == []
 
 
+def test_only_letters_are_letters(spark):
+    model = language.fit(["the one and the other", "der eine und der andere"], ["en", "de"])
+    texts = ["½ ²", "① ②", "Ⅷ", "١٢", "_", "½ a", "ª", "ー", "中"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language.identify_languages(docs, model).orderBy("doc_id").collect()] == [True] * 5 + [False] * 4
+
+
+def test_landmarks_of_all_texts_give_exact_kernel_ridge_regression(odd_rows):
+    texts = [t[:300] for _, t, *_ in odd_rows if t and len(t) > 100][:12]
+    names = ["en" if i % 3 else "de" for i in range(len(texts))]
+    model = language.fit(texts, names, landmarks=len(texts), ridge=0.01)
+    x = language.presence(texts).astype(float)
+    weight = np.diag([len(texts) / (2 * names.count(n)) for n in names])
+    wanted = np.asarray([[1.0 if n == g else -1.0 for g in ("de", "en")] for n in names])
+    dual = np.linalg.solve(weight @ x @ x.T + 0.01 * len(texts) * np.eye(len(texts)), weight @ wanted)
+    other = language.presence(["something else altogether", "und noch etwas"])
+    assert np.allclose((other @ model.landmarks.T) @ model.weights, (other @ x.T) @ dual, atol=1e-3)
+
+
 def test_kernel_counts_shared_grams():
     a, b = language.presence(["abcab", "abd"])
     assert np.isclose(a @ a, 1) and np.isclose(a @ b, 3 / np.sqrt(9 * 6))  # a, b, ab are shared; of 3 + 3 + 3 and 3 + 2 + 1 grams
@@ -136,6 +172,21 @@ def test_quality(spark, odd, none, tmp_path):
     assert quality.judge(quality.measured(none)).collect() == []
 
 
+def test_bounds_move_smoothly_with_the_size_of_a_group(spark):
+    """A group of 1, 199 or 200 documents like those of its language has its language's bound; one that differs gets its own step by step."""
+    usual = [("en", "big", 5000, 1000, 0, 10, 0, i % 40) for i in range(2000)]
+    columns = "lang string, source string, word_chars long, n_words long, n_repeat_words long, n_lines long, n_dup_lines long, n_symbols long"
+
+    def bound(n, symbols):
+        rows = usual + [("en", "own", 5000, 1000, 0, 10, 0, symbols(i)) for i in range(n)]
+        frame = spark.createDataFrame(rows, columns).withColumn("base_failed", F.lit(False))
+        return quality.thresholds(frame).filter("source_key = '=own' AND rate = 'n_symbols'").first().upper
+
+    assert len({bound(n, lambda i: i % 40) for n in (1, 199, 200)}) == 1
+    own = [bound(n, lambda i: 300) for n in (1, 10, 40, 199, 200, 1500)]
+    assert own[0] < 200 < min(own[1:]) and own[3] == own[4] == own[5]
+
+
 def test_sketch_buckets_bound_their_numbers(spark):
     rows = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("bucket")).withColumn("top", quality.upper_end(F.col("bucket"))).collect()
     assert all(r.id <= r.top <= r.id * 33 / 32 + 1 for r in rows)
@@ -211,4 +262,4 @@ def test_pipeline_keeps_clean_documents(spark):
 
 
 def test_queries_are_named():
-    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14)] == [1] * 13
