@@ -18,6 +18,7 @@ SAMPLE_DOCS, SAMPLE_BLOCKS = 400, 4  # what the classifier is fitted on at most:
 LANDMARKS = 40  # a language
 RIDGE = 1e-3
 ROWS = 256  # blocks a matrix product
+FLOOR_TEXTS, FLOOR_SHARE = 200, 0.005  # training blocks a language whose beginnings set the floors; the share of them that ends the usual range
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")  # categories Lu, Ll, Lt, Lm and Lo; numbers such as Ⅷ, ½ and ① are no letters
 
@@ -27,6 +28,7 @@ class LanguageModel:
     languages: list[str]
     landmarks: np.ndarray  # normalised presence vectors, a row each
     weights: np.ndarray  # landmark kernel values to one score a language
+    floors: np.ndarray  # least value of the best language that a text of 2**k code points needs, k from 0
 
 
 def presence(blocks: list[str]) -> np.ndarray:
@@ -57,7 +59,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     for name in names:
         taken += [i for i, x in enumerate(languages) if x == name][:landmarks]
     if not names:
-        return LanguageModel([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32))
+        return LanguageModel([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32), np.zeros(0))
     marks = presence([texts[i] for i in taken])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
@@ -67,7 +69,25 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     weight = np.sqrt(len(texts) / (len(names) * np.asarray([languages.count(n) for n in names])))[[names.index(x) for x in languages]]
     a = features * weight[:, None]
     solved = np.linalg.solve(a.T @ a + ridge * len(texts) * np.eye(a.shape[1]), a.T @ (wanted * weight[:, None]))
-    return LanguageModel(names, marks, (root @ solved).astype(np.float32))
+    model = LanguageModel(names, marks, (root @ solved).astype(np.float32), np.zeros(0))
+    model.floors = _floors(model, [t for name in names for t in [x for x, g in zip(texts, languages, strict=True) if g == name][:FLOOR_TEXTS]])
+    return model
+
+
+def values_of(model: LanguageModel, blocks: list[str]) -> np.ndarray:
+    """One-versus-rest values of blocks, a column a language."""
+    return (presence(blocks) @ model.landmarks.T) @ model.weights
+
+
+def _floors(model: LanguageModel, texts: list[str]) -> np.ndarray:
+    """For beginnings of 1, 2, 4 ... code points of the training texts: a tenth of the way from the median to the lowest
+    usual best value, below that value. Short texts show little of a language, so each length has its own floor."""
+    out = []
+    for k in range(BLOCK_CHARS.bit_length()):
+        best = np.concatenate([values_of(model, [t[: 1 << k] for t in texts[i : i + ROWS]]).max(axis=1) for i in range(0, len(texts), ROWS)])
+        low, middle = np.quantile(best, [FLOOR_SHARE, 0.5])
+        out.append(low - (middle - low) / 10)
+    return np.asarray(out)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,7 +115,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep: Sequence[str
 
     The whole text counts: the scores of its blocks are averaged by length. score is 0 to 1, from one-versus-rest values -1
     to 1 of the best language. A null text, a text without a letter, and every text under a model without languages are
-    'und' with score 0. Ties go to the language first by name.
+    'und' with score 0. Ties go to the language first by name. `rejected` says that no language can be told: a null or
+    letterless text, or a best value below the model's floor for texts of that length; a model without languages rejects
+    nothing. Repeated rows are judged alike; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x places: of a fixed size for each language
 
@@ -108,7 +130,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep: Sequence[str
             rows, parts = [], []
 
             def score(totals=totals, rows=rows, parts=parts) -> None:
-                values = (presence(parts) @ model.landmarks.T) @ model.weights
+                values = values_of(model, parts)
                 np.add.at(totals, rows, values * np.asarray([len(p) for p in parts])[:, None])
                 rows.clear()
                 parts.clear()
@@ -124,8 +146,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep: Sequence[str
                 score()
             best = totals.argmax(axis=1)
             names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            scores = [min(1.0, max(0.0, (totals[i, b] / len(texts[i]) + 1) / 2)) if known[i] else 0.0 for i, b in enumerate(best)]
-            yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            means = [totals[i, b] / len(texts[i]) if known[i] else 0.0 for i, b in enumerate(best)]
+            rejected = [bool(model.languages) and (not known[i] or means[i] < model.floors[min(len(texts[i]).bit_length(), len(model.floors)) - 1]) for i in range(len(texts))]
+            scores = [min(1.0, max(0.0, (m + 1) / 2)) if k else 0.0 for m, k in zip(means, known, strict=True)]
+            yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")

@@ -218,6 +218,20 @@ def test_chat_query_matches_sql(spark, tmp_path):
     against_sql(spark, tmp_path, frame, "conversations", queries.chat_sql(), queries.op10(spark, str(tmp_path / "in")))
 
 
+def test_language_stage_rejects_noise_only_where_languages_were_learned(spark):
+    docs = spark.read.parquet(f"{SMALL.replace("0.001", "0.01")}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rng = random.Random(8)
+    noise = [(-1 - i, "".join(chr(rng.choice([rng.randint(0x4E00, 0x9FFF), rng.randint(0x0400, 0x04FF), 32])) for _ in range(300)), None, "s", 300) for i in range(20)]
+    noise += [(-30, None, "en", "s", None), (-31, "12 34", "en", "s", 5)]
+    mixed = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    kept = {r.doc_id for r in stage(spark, mixed, SMALL).collect()}
+    lettered = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(lettered - kept) <= 0.01 * len(lettered) and sum(d < 0 for d in kept) <= 2
+    bare = mixed.withColumn("lang", F.lit(None).cast("string"))
+    assert stage(spark, bare, SMALL).count() == mixed.count()
+
+
 def test_pipeline_stages(spark, odd, none):
     docs = odd.select(*corpus_pipeline.COLUMNS).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     steps = dict(corpus_pipeline.STAGES)
