@@ -18,7 +18,7 @@ from partflow.llm.common import dropped, mixed, salted_join, stored
 SUPPORT, TOP, HOLDING = 10, 2000, 50  # least count, phrases a language, percent of a phrase's places that a longer one may hold
 SAMPLE_PARTS, SAMPLE_SUPPORT = 4, 2  # one document in four proposes; a quarter of the support, lowered
 PROBES, LOG_BITS = 4, 26  # the filters of admitted words and pairs: 8 MB each, whatever the corpus; a full one admits more, never less
-BLOCK = 4 << 20  # bytes of text counted at a time
+BLOCK, ROWS = 1 << 20, 512  # bytes of text counted at a time, rows taken from a batch at a time
 TAB = "\t"  # between language and phrase of a key; no phrase holds one
 
 _BREAK = b"."  # every break of the contract becomes this one
@@ -158,7 +158,7 @@ def _counter(old: Broadcast | None, new: Broadcast | None):
     both: what the new ones admit and the old ones did not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
