@@ -126,13 +126,17 @@ class Filters:
 
 
 def _key_hashes(keys: pa.Array) -> np.ndarray:
-    out = np.empty(len(keys), np.uint64)
+    """The hashes of words and pairs by their keys; `Block` has the same ones."""
+    digest = xxhash.xxh3_64_intdigest
+    first, second = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+    pairs = np.zeros(len(keys), bool)
     for i, key in enumerate(keys.cast(pa.binary()).to_pylist()):
         lang, _, phrase = key.rpartition(b"\t")
-        first, _, second = phrase.partition(b" ")
-        one = xxhash.xxh3_64_intdigest(lang + b"\t" + first)
-        out[i] = joined(np.uint64([one]), np.uint64([xxhash.xxh3_64_intdigest(lang + b"\t" + second)]))[0] if second else one
-    return out
+        one, two, rest = phrase.partition(b" ")
+        first[i] = digest(lang + b"\t" + one)
+        if two:
+            pairs[i], second[i] = True, digest(lang + b"\t" + rest)
+    return np.where(pairs, joined(first, second), first)
 
 
 def _key_cells(batches: Iterator[pa.RecordBatch], log_bits: int) -> Iterator[pa.RecordBatch]:
