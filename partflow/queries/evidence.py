@@ -100,17 +100,17 @@ def near_features(spark, folder):
     return b.feature_table(spark, folder).select("Id", "Response", "route", *NEAR)
 
 
-def matches(spark, folder, page_rows=nb.PAGE_ROWS):
+def matches(spark, folder):
     f, s = materialized(near_features(spark, folder)), b.split_table(spark, folder)
     train = split_view(f, s, "train").select(F.col("Id").alias("id"), F.col("Response").alias("y"), "route", *NEAR)
     parts = f.join(queue(spark, folder).select(F.col("part_id").alias("Id")), "Id", "left_semi").withColumnRenamed("Id", "part_id")
-    return nb.knn_join(parts, train, NEAR, K, page_rows)
+    return nb.knn_join(parts, train, NEAR, K)
 
 
 def vector_matches(spark, folder):
     v = b.vectors(spark, folder)
     dims = [c for c in v.columns if c.startswith("x")]
-    return nb.knn_join(v.select(F.col("id").alias("part_id"), "route", *dims), v, dims, 10, 32)
+    return nb.knn_join(v.select(F.col("id").alias("part_id"), "route", *dims), v, dims, 10)
 
 
 def e4(spark, folder):

@@ -22,10 +22,10 @@ def brute_force(train, queue, k):
     return out
 
 
-def check(spark, train, queue, k, page_rows):
+def check(spark, train, queue, k, leaf_rows):
     t = spark.createDataFrame(train, "id long, y int, route string, a double, b double, c double")
     q = spark.createDataFrame(queue, "part_id long, route string, a double, b double, c double")
-    rows = nb.knn_join(q, t, DIMS, k, page_rows).collect()
+    rows = nb.knn_join(q, t, DIMS, k, leaf_rows).collect()
     got, flags = {}, {}
     for r in sorted(rows, key=lambda r: (r.part_id, r["rank"])):
         got.setdefault(r.part_id, []).append(r.neighbour_id)
@@ -45,14 +45,14 @@ def make(rng, n, start, routes, duplicates=False):
     return rows
 
 
-@pytest.mark.parametrize("page_rows,duplicates", [(4, False), (4, True), (64, True)])
-def test_equals_brute_force_on_a_hot_route(spark, page_rows, duplicates):
-    rng = np.random.default_rng(page_rows)
+@pytest.mark.parametrize("leaf_rows,duplicates", [(4, False), (4, True), (64, True)])
+def test_equals_brute_force_on_a_hot_route(spark, leaf_rows, duplicates):
+    rng = np.random.default_rng(leaf_rows)
     routes = ["hot", "r1", "r2", "r3"]
     train = [(i, int(i % 5 == 0), r, *v) for i, r, v in make(rng, 700, 0, routes, duplicates)] + [(9000 + j, 1, "tiny", .1 * j, 1.0, 0.0) for j in range(3)]
     queue = [(i, r, *v) for i, r, v in make(rng, 60, 10_000, routes, duplicates)]
     queue += [(20_000, "tiny", 0.1, 1.0, 0.0), (20_001, "never seen", 0.0, None, 0.0), (20_002, "never seen", 90.0, -90.0, 7.0)]
-    check(spark, train, queue, 5, page_rows)
+    check(spark, train, queue, 5, leaf_rows)
 
 
 def test_fewer_parts_than_k(spark):
@@ -78,7 +78,25 @@ def test_join_has_no_cartesian_step(spark):
 
 def test_copies_are_cut_before_the_search(spark):
     rows = [(i, 0, "x", 1.0, 1.0) for i in range(500)] + [(1000 + i, 0, "x", float(i), 2.0) for i in range(20)]
-    df = spark.createDataFrame(rows, "id long, y int, grp string, z0 double, z1 double").repartition(4)
-    thin = nb._thinned(df, 2, 5)
+    df = spark.createDataFrame(rows, "id long, y int, grp string, z0 double, z1 double").selectExpr("id", "y", "grp", "array(z0, z1) AS z").repartition(4)
+    thin = nb._thinned(df, 5)
     assert sorted(r.id for r in thin.where("id < 1000").collect()) == [0, 1, 2, 3, 4] and thin.count() == 25
     assert "WindowGroupLimit" in thin._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compared_pairs_grow_near_linearly_on_a_hot_route(spark):
+    rng, compared = np.random.default_rng(5), {}
+    for n in (2000, 8000):
+        rows = [(i, 0, "hot", [float(x) for x in rng.normal(size=3)]) for i in range(n)]
+        train = spark.createDataFrame(rows, "id long, y int, grp string, z array<double>")
+        visits, _, leaves = nb.leaf_visits(train.selectExpr("id AS qid", "grp", "z"), train, 10, 32)
+        compared[n] = visits.selectExpr("sum(size(reached) * parts) AS pairs").first().pairs
+        assert leaves.selectExpr("sum(n) AS n").first().n == n
+    print(compared)
+    assert compared[8000] < 6 * compared[2000] and compared[8000] < 0.1 * 8000**2
+
+
+def test_cuts_part_ties_and_stop_where_nothing_parts():
+    z = np.array([[0.0, 5.0]] * 9 + [[1.0, 5.0]])
+    dims, cuts = nb._cut(z, 3)
+    assert dims[0] == 0 and cuts[0] == 1.0 and set(cuts[1:]) == {float("inf")}
