@@ -151,7 +151,8 @@ def _marked(keys: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what links of at most four bits connect, one fewer than a component's members."""
+    """Pairs (larger, smaller) that connect what links of at most four bits connect, one fewer than a component's members."""
+    prints = np.sort(prints.view(np.int64)).view(np.uint64)
     n = len(prints)
     near = np.empty((n, n), bool)
     for at in range(0, n, 128):
@@ -176,6 +177,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (ends - sizes)[sizes == 2]
         left, right = flat[first], flat[first + 1]
         close = np.bitwise_count(left ^ right) <= MAX_BITS
+        left, right = (f(left.view(np.int64), right.view(np.int64)).view(np.uint64) for f in (np.maximum, np.minimum))
         pairs = [(left[close], right[close])]
         pairs += [forest(flat[to - n : to]) for n, to in zip(sizes.tolist(), ends.tolist()) if n > 2]
         yield pa.record_batch([signed(np.concatenate([p[i] for p in pairs])) for i in (0, 1)], names=["a", "b"])
@@ -224,7 +226,15 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     at_points = keyed.filter("key < 0").select("fingerprint").repartition(tasks, "fingerprint").mapInArrow(_midpoints, "point long, fingerprint long")
     met = at_points.groupBy("point").agg(F.min("fingerprint").alias("b"), F.collect_list("fingerprint").alias("prints")).filter(F.size("prints") > 1)
     stars = met.select(F.explode("prints").alias("a"), "b").filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    return _small_stars(_small_stars(pairs.unionByName(stars).distinct()))
+
+
+def _small_stars(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b), b the smaller, with each a's other partners hung on its smallest: as connected, but a crowd that met at
+    many keys keeps about one pair a member. A fingerprint has few keys and points, so its partners are few."""
+    held = pairs.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("others"))
+    hung = held.select(F.explode(F.concat(F.array("a"), F.array_remove("others", F.col("least")))).alias("a"), F.col("least").alias("b"))
+    return hung.distinct()
 
 
 def simhash_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
