@@ -6,12 +6,12 @@ per task. Windows run over at most one row per threshold; ranks over all rows us
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from partflow.functions.draws import inverse_binomial, uniform
 from partflow.functions.scoring import GRID, GRID_STEPS, mcc, threshold_bucket
 from partflow.operators.ranking import running_totals
 
@@ -113,29 +113,29 @@ def average_precision(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ranked.groupBy(*by).agg(F.coalesce(F.avg(precision), F.lit(0.0)).alias("average_precision"))
 
 
+def resampled_counts(cells: DataFrame, draws: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """cells (tp, fp, tn, fn) resampled with replacement, one row a draw: three binomial counts one after the other, each of
+    what the ones before left over, together a multinomial draw."""
+    total = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    out = cells.select(*by, *COUNTS, total.alias("__left"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    rest, left = F.col("__left"), F.col("__left")
+    for at, cell in enumerate(("tp", "fp", "fn")):
+        share = F.when(rest > 0, F.col(cell).cast("double") / rest.cast("double")).otherwise(0.0)
+        out = out.withColumn(f"__{cell}", inverse_binomial(left, share, uniform(F.col("draw"), F.lit(seed), F.lit(at))))
+        rest, left = rest - F.col(cell), left - F.col(f"__{cell}")
+    return out.select(*by, "draw", *[F.col(f"__{c}").alias(c) for c in ("tp", "fp")], left.alias("tn"), F.col("__fn").alias("fn"))
+
+
 def bootstrap_mcc(scores: DataFrame, threshold: float | Column, draws: int = 500, seed: int = 0,
                   by: Sequence[str] = ()) -> DataFrame:
     """5th and 95th percentile of MCC at a fixed threshold over resamples of the same size.
 
     At a fixed threshold a resample of n rows is one multinomial draw over the four cells, so the scores are
-    read once and each replicate costs four numbers, however large n is.
+    read once and each replicate costs four numbers, however large n is. The draws are column expressions keyed by seed and
+    number of the draw.
     """
     by = list(by)
-    cells = counts_at(scores, threshold, by)
-    replicates = cells.select(*by, *COUNTS, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    schema = T.StructType([f for f in replicates.schema.fields])
-
-    def resample(batches: Iterator) -> Iterator:
-        import numpy as np
-        for batch in batches:
-            cell = batch[list(COUNTS)].to_numpy(dtype="float64")
-            out = np.empty((len(batch), 4), dtype="int64")
-            for i, (draw, row) in enumerate(zip(batch["draw"], cell)):
-                rng = np.random.default_rng([seed, int(draw)])
-                out[i] = rng.multinomial(int(row.sum()), row / row.sum())
-            yield batch.assign(**{c: out[:, j] for j, c in enumerate(COUNTS)})
-
-    drawn = replicates.mapInPandas(resample, schema).withColumn("mcc", mcc(*[F.col(c) for c in COUNTS]))
+    drawn = resampled_counts(counts_at(scores, threshold, by), draws, seed, by).withColumn("mcc", mcc(*[F.col(c) for c in COUNTS]))
     ends = F.percentile("mcc", F.array(F.lit(0.05), F.lit(0.95)))  # draws values per group
     return drawn.groupBy(*by).agg(ends.alias("e")).select(*by, F.col("e")[0].alias("mcc_p05"), F.col("e")[1].alias("mcc_p95"))
 

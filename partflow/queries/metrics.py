@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partflow.functions.draws import inverse_binomial_sql
 from partflow.operators import metrics as m
 from partflow.operators.cost import build_policy
 from partflow.operators.splits import start_times
@@ -12,7 +13,7 @@ from partflow.plans.ensemble import early_stopping_tail
 from partflow.plans.holdout import decision_metrics
 from partflow.queries import bindings as b
 from partflow.queries.registry import Query
-from partflow.queries.sqlparts import dollars_sql, mcc_sql, policy_sql, sweep_sql
+from partflow.queries.sqlparts import dollars_sql, hash_sql, mcc_sql, policy_sql, sweep_sql
 from partflow.session import materialized
 
 GRID10 = tuple(k / 10 for k in range(11))
@@ -42,23 +43,32 @@ def m11(spark, folder):
 
 
 def m8(spark, folder):
-    """The tail is the latest share of the train parts; the interval is random, so only whether it holds the point is compared."""
+    """The tail is the latest share of the train parts."""
     validation, train = (b.split_scores(spark, folder, s) for s in ("validation", "train"))
     begun = start_times(b.dates(spark, folder)).join(train.select(F.col("id").alias("Id")), "Id", "left_semi").withColumnRenamed("min_ts", "start_ts")
     latest = early_stopping_tail(begun, 0.15).where("in_tail").select(F.col("Id").alias("id"))
-    report = m.threshold_report(materialized(validation), materialized(train.join(latest, "id", "left_semi")))
-    held = F.col("validation_mcc").between(F.col("mcc_p05"), F.col("mcc_p95"))
-    return report.withColumn("interval_holds_mcc", held).drop("mcc_p05", "mcc_p95")
+    return m.threshold_report(materialized(validation), materialized(train.join(latest, "id", "left_semi")))
 
 
 def bootstrap(spark, folder):
-    """The interval is random by nature; the point estimate must lie inside it."""
-    scores = b.scores(spark, folder)
-    ends = m.bootstrap_mcc(scores, 0.25, draws=500, seed=0)
+    """The point estimate lies inside the interval."""
+    ends = m.bootstrap_mcc(b.scores(spark, folder), 0.25, draws=500, seed=0)
     point = m2(spark, folder).select("mcc").scalar()
     return ends.select((F.col("mcc_p05") <= point).alias("low_ok"), (F.col("mcc_p95") >= point).alias("high_ok"))
 
 
+def draws_sql(cells: str, draws: int = 500, seed: int = 0) -> str:
+    """CTEs ending in ends(mcc_p05, mcc_p95): the same keyed draws over the one row (tp, fp, tn, fn) of cells."""
+    number = lambda at: f"(CAST({hash_sql('draw', str(seed), str(at))} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({1 << 60} AS DOUBLE)"
+    parts, rest, left, source = [f"d0 AS (SELECT *, tp + fp + tn + fn AS n, draw FROM {cells}, range({draws}) AS r(draw))"], "n", "n", "d0"
+    for at, cell in enumerate(("tp", "fp", "fn")):
+        share = f"(CASE WHEN {rest} > 0 THEN CAST({cell} AS DOUBLE) / CAST({rest} AS DOUBLE) ELSE 0 END)"
+        parts.append(f"d{at + 1} AS ({inverse_binomial_sql(source, 'draw', f'({left})', share, number(at), 'r' + cell, '*')})")
+        rest, left, source = f"({rest} - {cell})", f"{left} - r{cell}", f"d{at + 1}"
+    parts.append(f"ends AS (SELECT quantile_cont(v, 0.05) AS mcc_p05, quantile_cont(v, 0.95) AS mcc_p95 FROM (SELECT {mcc_sql('rtp', 'rfp', '(n - rtp - rfp - rfn)', 'rfn')} AS v FROM d3))")
+    return ", ".join(parts)
+
+
 RANKED = "CAST(count(*) FILTER (y = 1) AS BIGINT)"
 AUC = ("agg AS (SELECT {by} sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS rs, count(*) FILTER (y = 1) AS np, count(*) FILTER (y = 0) AS nn FROM ("
        "SELECT {by} y, rank() OVER ({part} ORDER BY p) + (count(*) OVER ({same}) - 1) / 2.0 AS r FROM {src}) {group})")
@@ -89,18 +99,21 @@ QUERIES = [
           b.with_ctes("scores", "SELECT seed, coalesce(avg(CAST(k AS DOUBLE) / rk) FILTER (y = 1), 0) AS average_precision FROM hits GROUP BY seed",
                       SEEDED + ", " + AP.format(by="seed,", part="PARTITION BY seed", src="seeded")), ["average_precision"]),
     Query("M7_bootstrap_mcc", bootstrap, b.with_ctes("scores", "SELECT count(*) > 0 AS low_ok, count(*) > 0 AS high_ok FROM scores")),
-    Query("M7_bootstrap_interval", lambda s, d: m.bootstrap_mcc(b.scores(s, d), 0.25, draws=500, seed=0)),
+    Query("M7_bootstrap_interval", lambda s, d: m.bootstrap_mcc(b.scores(s, d), 0.25, draws=500, seed=0),
+          b.with_ctes("scores", "SELECT * FROM ends", "cells AS (SELECT count(*) FILTER (y = 1 AND p >= 0.25) AS tp, count(*) FILTER (y = 0 AND p >= 0.25) AS fp, "
+                      "count(*) FILTER (y = 0 AND p < 0.25) AS tn, count(*) FILTER (y = 1 AND p < 0.25) AS fn FROM scores), " + draws_sql("cells")), ["mcc_p05", "mcc_p95"]),
     Query("M8_threshold_report", m8,
           b.with_ctes("scores splits starts",
-                      "SELECT true AS interval_holds_mcc, v.mcc AS validation_mcc, v.threshold, v.tp, v.fp, v.tn, v.fn, t.threshold AS train_tail_threshold, "
+                      "SELECT mcc_p05, mcc_p95, v.mcc AS validation_mcc, v.threshold, v.tp, v.fp, v.tn, v.fn, t.threshold AS train_tail_threshold, "
                       "(SELECT mcc FROM asweep ORDER BY abs(threshold - t.threshold), threshold LIMIT 1) AS validation_mcc_at_train_tail_threshold, "
                       "CASE WHEN v.mcc > 0.4 THEN 'leakage' WHEN v.mcc < 0.12 THEN 'broken' ELSE 'ok' END AS verdict FROM "
-                      "(SELECT * FROM asweep ORDER BY mcc DESC, threshold LIMIT 1) v, (SELECT * FROM bsweep ORDER BY mcc DESC, threshold LIMIT 1) t",
+                      "best v, (SELECT * FROM bsweep ORDER BY mcc DESC, threshold LIMIT 1) t, ends",
                       "val AS (SELECT c.* FROM scores c JOIN splits s ON s.Id = c.id WHERE split = 'validation'), "
                       "late AS (SELECT s.Id, row_number() OVER (ORDER BY s.min_ts DESC, s.Id DESC) AS r FROM starts s JOIN splits p ON p.Id = s.Id WHERE split = 'train' AND s.min_ts IS NOT NULL), "
                       "trn AS (SELECT c.* FROM scores c JOIN late ON late.Id = c.id WHERE r <= (SELECT CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT) FROM splits WHERE split = 'train')), "
-                      + sweep_sql("val", "a") + ", " + sweep_sql("trn", "b")),
-          ["validation_mcc", "validation_mcc_at_train_tail_threshold"]),
+                      + sweep_sql("val", "a") + ", " + sweep_sql("trn", "b") + ", best AS (SELECT * FROM asweep ORDER BY mcc DESC, threshold LIMIT 1), "
+                      + draws_sql("(SELECT tp, fp, tn, fn FROM best)")),
+          ["validation_mcc", "validation_mcc_at_train_tail_threshold", "mcc_p05", "mcc_p95"]),
     Query("M9_per_seed_mcc", lambda s, d: m.per_seed_mcc(seeded_scores(s, d)),
           b.with_ctes("scores", "SELECT seed, threshold, mcc FROM sw QUALIFY row_number() OVER (PARTITION BY seed ORDER BY mcc DESC, threshold) = 1",
                       SEEDED + ", vals AS (SELECT seed, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM seeded GROUP BY seed, p), "

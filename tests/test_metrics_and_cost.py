@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +130,29 @@ def test_bootstrap_interval_of_the_published_counts(published):
     assert m.bootstrap_mcc(published, 0.185, draws=50, seed=3).first() == m.bootstrap_mcc(published.repartition(3), 0.185, draws=50, seed=3).first()
 
 
+def test_inverse_binomial_is_exact(spark):
+    from partflow.functions.draws import inverse_binomial, uniform
+    cases = [(n, p, u) for n in (0, 1, 7, 40, 900) for p in (0.0, 0.003, 0.3, 0.5, 0.97, 1.0) for u in (1e-6, 0.04, 0.5, 0.77, 0.999)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n long, p double, u double")
+    got = {r.i: r.k for r in rows.select("i", inverse_binomial(F.col("n"), F.col("p"), F.col("u")).alias("k")).collect()}
+    for i, (n, p, u) in enumerate(cases):
+        total, k = 0.0, -1
+        while k < n and (k < 0 or total < u):
+            k += 1
+            total += math.comb(n, k) * (p**k) * ((1 - p) ** (n - k))
+        assert got[i] == k, (n, p, u)
+    u = spark.range(4000).select(uniform(F.col("id"), F.lit(3)).alias("u")).agg(F.min("u"), F.avg("u"), F.max("u")).first()
+    assert 0 < u[0] < 0.01 and 0.48 < u[1] < 0.52 and 0.99 < u[2] < 1
+
+
+def test_resamples_keep_their_size_and_shares(spark):
+    cells = spark.createDataFrame([(700, 0, 9000, 300)], "tp long, fp long, tn long, fn long")
+    drawn = m.resampled_counts(cells, 400, 5)
+    row = drawn.agg(F.min(F.expr("tp + fp + tn + fn")), F.max(F.expr("tp + fp + tn + fn")), F.avg("tp"), F.stddev("tp"), F.max("fp")).first()
+    assert row[0] == row[1] == 10_000 and row[4] == 0
+    assert row[2] == pytest.approx(700, abs=5) and row[3] == pytest.approx(math.sqrt(700 * 0.93), rel=0.12)
+
+
 def curve_of(spark, dollars):
     return spark.createDataFrame([(i / (len(dollars) - 1), float(d)) for i, d in enumerate(dollars)], "threshold double, dollars_per_shift double")
 
