@@ -48,12 +48,12 @@ def transition_gap(previous: Sequence[ColumnLike], following: Sequence[ColumnLik
 
 
 def presence_pattern(cols: Sequence[ColumnLike]) -> Column:
-    """Bit i is set when the i-th column is present. Beyond 63 columns, an array of such numbers, each of the next 63."""
+    """An array of numbers, each for the next 63 columns: bit i is set when the i-th of them is present."""
     words = []
     for at in range(0, len(cols), PATTERN_BITS):
         bits = [as_column(c).isNotNull().cast("long") * F.lit(1 << i) for i, c in enumerate(cols[at : at + PATTERN_BITS])]
         words.append(reduce(lambda a, b: a + b, bits))
-    return words[0] if len(words) == 1 else F.array(*words)
+    return F.array(*words)
 
 
 def first_present(cols: Sequence[str]) -> Column:

@@ -79,21 +79,46 @@ def split_view(table: DataFrame, splits: DataFrame, name: str) -> DataFrame:
     return table.join(in_split(splits, name).select(ID), ID, "left_semi")
 
 
+def shared_bitmaps(ids: DataFrame, reference: DataFrame) -> DataFrame:
+    """(bucket, bits): bitmaps of the Ids on both sides, a row for each run of 32,768 Ids that holds one.
+
+    Both sides are folded into a bitmap a bucket before they shuffle, so what moves is a row a bucket and task however often
+    an Id repeats. Null Ids are on neither side.
+    """
+    sides = ids.select(F.col(ID), F.lit(True).alias("__one")).unionByName(reference.select(F.col(ID), F.lit(False).alias("__one")))
+    place = F.bitmap_bit_position(ID)
+    both = sides.where(F.col(ID).isNotNull()).groupBy(F.bitmap_bucket_number(ID).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.when(F.col("__one"), place)).alias("a"), F.bitmap_construct_agg(F.when(~F.col("__one"), place)).alias("b"))
+    pair = both.select("bucket", F.explode(F.array("a", "b")).alias("bits"))  # still dealt by bucket: no further shuffle
+    return pair.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits")).where(F.bitmap_count("bits") > 0)
+
+
+def bitmap_ids(bitmaps: DataFrame) -> DataFrame:
+    """The Ids that bitmaps (bucket, bits) hold."""
+    byte = F.expr("explode(filter(sequence(0, 4095), i -> substring(bits, i + 1, 1) <> X'00')) AS at")
+    held = bitmaps.select("bucket", "bits", byte).select("bucket", "at", F.expr("CAST(conv(hex(substring(bits, at + 1, 1)), 16, 10) AS INT)").alias("byte"))
+    place = held.select("bucket", F.explode(F.expr("transform(filter(sequence(0, 7), i -> shiftright(byte, i) % 2 = 1), i -> at * 8 + i)")).alias("place"))
+    size = F.lit(32768).cast("long")
+    return place.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * size + F.col("place") + 1).otherwise(F.col("bucket") * size - F.col("place")).alias(ID))
+
+
 def intersect_ids(ids: DataFrame, reference: DataFrame) -> DataFrame:
     """Distinct Ids present on both sides."""
-    return ids.select(ID).intersect(reference.select(ID))
+    return bitmap_ids(shared_bitmaps(ids, reference))
+
+
+def _shared_count(ids: DataFrame, reference: DataFrame, name: str) -> DataFrame:
+    return shared_bitmaps(ids, reference).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0).cast("long")).alias(name))
 
 
 def holdout_audit(ids: DataFrame, splits: DataFrame) -> DataFrame:
     """How many of the evaluated Ids belong to the holdout; anything but 0 is a breach."""
-    shared = ids.select(ID).distinct().join(in_split(splits, "holdout").select(ID), ID, "left_semi")
-    return shared.agg(F.count(F.lit(1)).alias("holdout_ids_referenced"))
+    return _shared_count(ids, in_split(splits, "holdout"), "holdout_ids_referenced")
 
 
 def disjoint(exposed: DataFrame, holdout: DataFrame) -> DataFrame:
     """One row: size of the overlap of two id sets and whether they are disjoint."""
-    overlap = intersect_ids(exposed, holdout).agg(F.count(F.lit(1)).alias("overlap"))
-    return overlap.withColumn("disjoint", F.col("overlap") == 0)
+    return _shared_count(exposed, holdout, "overlap").withColumn("disjoint", F.col("overlap") == 0)
 
 
 def point_lookup(df: DataFrame, part_id: int) -> DataFrame:

@@ -84,7 +84,7 @@ def p9(spark, folder):
 
 def p12(spark, folder):
     n = b.numeric(spark, folder)
-    return n.select("Id", fc.presence_pattern(b.numeric_columns()).alias("pattern"), fc.first_present(b.numeric_columns()).alias("first_column"))
+    return n.select("Id", fc.presence_pattern(b.numeric_columns())[0].alias("pattern"), fc.first_present(b.numeric_columns()).alias("first_column"))
 
 
 def routes(spark, folder):

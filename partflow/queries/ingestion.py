@@ -98,7 +98,7 @@ def decision_files(spark, folder):
 
 
 def s11(spark, folder):
-    return lg.read_jsonl_log(spark, decision_files(spark, folder), lg.DECISION_SCHEMA).drop("log", "block", "pos")
+    return lg.read_jsonl_log(spark, decision_files(spark, folder), lg.DECISION_SCHEMA).drop("log", "block", "pos", "fields", "damaged")
 
 
 def f9(spark, folder):

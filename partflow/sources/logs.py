@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partflow.functions.scoring import label_for
@@ -20,11 +20,33 @@ def read_jsonl_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed scan of a JSON-lines log. `log` is the file name without its extension.
 
     (block, pos) is the place of a line in its file: where the split that holds it begins, and a number that grows along the
-    lines a task reads. Only the order of the places has a meaning; it holds however a file is split.
+    lines a task reads. Only the order of the places has a meaning; it holds however a file is split. `fields` is the whole
+    line as a VARIANT, so fields that the schema does not name stay. A line that is no JSON object has nulls in all of them
+    and itself in `damaged`; `sound` and `damaged` part the two. Blank lines are no lines.
     """
-    rows = spark.read.schema(schema).json(path)
-    return rows.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl?$", "").alias("log"),
-                       F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    placed = lines.select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl?$", "").alias("log"),
+                          F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    parsed = placed.withColumn("fields", F.try_parse_json("value"))
+    good = F.coalesce(F.startswith(F.schema_of_variant("fields"), F.lit("OBJECT")), F.lit(False))
+    typed = F.when(good, F.from_json("value", schema)).alias("row")
+    return (parsed.select(typed, "log", "block", "pos", F.when(good, F.col("fields")).alias("fields"), F.when(~good, F.col("value")).alias("damaged"))
+            .select("row.*", "log", "block", "pos", "fields", "damaged"))
+
+
+def sound(log: DataFrame) -> DataFrame:
+    """The lines that could be read."""
+    return log.where(F.col("damaged").isNull()).drop("damaged")
+
+
+def damaged(log: DataFrame) -> DataFrame:
+    """(log, block, pos, damaged): the lines that could not be read, with their places."""
+    return log.where(F.col("damaged").isNotNull()).select("log", "block", "pos", "damaged")
+
+
+def field(path: str, kind: str) -> Column:
+    """A field of a log line that its schema need not name; null where it is absent or of another kind."""
+    return F.try_variant_get("fields", path, kind)
 
 
 def labelled(decisions: DataFrame) -> DataFrame:

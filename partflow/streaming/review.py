@@ -22,13 +22,21 @@ def decision_source(spark: SparkSession, path: str, files_per_trigger: int = 100
             .withColumn("at", F.to_timestamp("at")))
 
 
-def label_stream(decisions: DataFrame) -> DataFrame:
-    """Every decision with its label, however late it comes. The stream keeps no state, so nothing is dropped for its time."""
-    return decisions.select("part_id", "action", label_for(F.col("action"), ACTION_LABELS).alias("label"), "at")
+def label_stream(decisions: DataFrame, remember: str = "7 days") -> DataFrame:
+    """Every decision once, with its label, however late it comes.
+
+    A delivery of the same part, action and time is a repeat and is dropped for `remember` after the first one, across
+    restarts. The state is keyed by these three and expires by the time of arrival, not by that of the decision, so no late
+    decision is dropped and the state holds at most the decisions that arrived within `remember`. Two actions on one part in
+    the same second are two decisions.
+    """
+    labels = decisions.select("part_id", "action", label_for(F.col("action"), ACTION_LABELS).alias("label"), "at")
+    arrived = labels.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", remember)
+    return arrived.dropDuplicatesWithinWatermark(["part_id", "action", "at"]).drop("arrived")
 
 
 def each_once(labels: DataFrame) -> DataFrame:
-    """The written labels without repeats of a delivery. Two actions on one part in the same second are two decisions."""
+    """Written labels without repeats that came later than the stream remembers."""
     return labels.dropDuplicates(["part_id", "action", "at"])
 
 

@@ -43,11 +43,11 @@ def test_sketch_ranges_are_close_in_rank(spark):
 def test_part_evidence(spark, tables, policy):
     queue = spark.createDataFrame([(1, .2), (4, .3)], "part_id long, score double")
     ranges = spark.createDataFrame([("L0_S0_F0", 0.0, 0.4), ("L0_S0_F2", -1.0, 1.0)], "name string, low double, high double")
-    routes = spark.createDataFrame([(1, "L0_S0-L1_S24"), (2, "L1_S24"), (4, "")], "Id long, route string")
+    routes = spark.createDataFrame([(1, "L0_S0-L1_S24"), (2, "L0_S0"), (4, "")], "Id long, route string")
     got = {r.part_id: r for r in ev.part_evidence(queue, measurements_long(tables["numeric"], "numeric"), measurements_long(tables["date"], "date"),
                                                   routes, ranges, policy).collect()}
     assert set(got) == {1, 4}
-    assert [tuple(o) for o in got[1].out_of_range] == [("L0_S0_F0", .5, 0.0, .4)]
+    assert [tuple(o) for o in got[1].out_of_range] == [("L0_S0_F0", 4.0, 0.0, .4), ("L0_S0_F2", 1.25, -1.0, 1.0)]
     assert got[1].columns == ["L0_S0_F0", "L0_S0_F2", "L1_S24_F1", "L0_S0_D1", "L0_S0_D3", "L1_S24_D2"]
     assert (got[1].measurements_present, got[4].measurements_present, got[4].columns, got[4].out_of_range) == (3, 0, [], [])
     assert got[1].policy_band == [.1, .4]

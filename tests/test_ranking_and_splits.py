@@ -103,3 +103,14 @@ def test_views_are_disjoint_and_audited(spark, dates):
     assert sp.holdout_audit(dates, assigned).first()[0] == 2
     with pytest.raises(ValueError):
         sp.first_rows(dates, 1001)
+
+
+def test_bitmaps_give_the_rows_of_the_semi_join(spark):
+    ids = [0, 1, -1, 32767, 32768, 32769, -32768, -32769, 2**63 - 1, -(2**63) + 1, 1234567890123456789, 77, None]
+    a = spark.createDataFrame([(i,) for i in ids * 3], "Id long").repartition(5)
+    b = spark.createDataFrame([(i,) for i in [*ids[::2], 5, -5, None]], "Id long")
+    want = sorted(r.Id for r in a.join(b, "Id", "left_semi").distinct().collect())
+    assert sorted(r.Id for r in sp.intersect_ids(a, b).collect()) == want and len(want) == 6
+    assert sp.disjoint(a, b).first().overlap == 6 and sp.disjoint(a, b.where("abs(Id) = 5")).first().disjoint
+    plan = sp.shared_bitmaps(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 or plan.count("Exchange hashpartitioning") == 1

@@ -10,16 +10,16 @@ def by_id(df):
     return {r.Id: r for r in df.collect()}
 
 
-def test_published_feature_values(tables):
+def test_feature_values_by_hand(tables):
     f = by_id(st.build_features(tables["numeric"], tables["date"], tables["categorical"], ["L0_S0_F4"]))
     one = f[1]
-    assert (one.L0_S0_num_min, one.L0_S0_num_max, one.L0_S0_num_range, one.L0_S0_num_missing) == (-.5, .5, 1.0, 0)
-    assert (one.L0_S0_dwell, one.L1_S24_arrival, one.elapsed, one.n_stations, one.start_ts) == (2.0, 10.0, 10.0, 2, 10.0)
-    assert [f[i].route for i in (1, 2, 3, 4)] == ["L0_S0-L1_S24", "L1_S24", "L0_S0-L1_S24", ""]
-    assert (f[4].elapsed, f[4].n_stations) == (None, 0)
-    assert (f[3].L0_S0_num_missing, f[3].L1_S24_num_range, f[3].L0_S0_num_min) == (1, 0.0, .1)
-    assert (f[1].cat_L0_S0_F4, f[2].cat_L0_S0_F4, f[1].L1_S24_cat_count, f[2].L0_S0_cat_count) == (8, None, 1, 0)
-    assert (one.L0_span, one.L1_span, one.L1_arrival) == (2.0, 0.0, 10.0)
+    assert (one.L0_S0_num_min, one.L0_S0_num_max, one.L0_S0_num_range, one.L0_S0_num_missing) == (1.25, 4.0, 2.75, 0)
+    assert (one.start_ts, one.elapsed, one.n_stations, one.L0_S0_dwell, one.L1_S24_arrival) == (3.0, 5.0, 2, 5.0, 2.5)
+    assert (one.L0_span, one.L1_span, one.L1_arrival) == (5.0, 0.0, 2.5)
+    assert {i: r.route for i, r in f.items()} == {1: "L0_S0-L1_S24", 2: "L0_S0", 3: "L1_S24", 4: ""}
+    assert (f[2].L0_S0_num_missing, f[2].L0_S0_num_min, f[2].L0_S0_dwell, f[3].L1_S24_num_range) == (1, 2.5, 0.0, 0.0)
+    assert (f[4].start_ts, f[4].elapsed, f[4].n_stations) == (None, None, 0)
+    assert ([f[i].cat_L0_S0_F4 for i in (1, 2, 3)], [f[i].L1_S24_cat_count for i in (1, 2, 3)]) == ([40, 7, None], [0, 1, 1])
 
 
 def test_long_form_agrees_with_wide_form(spark, tables):
@@ -41,7 +41,7 @@ def test_long_form_agrees_with_wide_form(spark, tables):
     routes = by_id(st.build_features(tables["numeric"], tables["date"], tables["categorical"], []))
     assert {r.Id: r.route for r in st.route_long(tables["numeric"], seen).collect()} == {i: r.route for i, r in routes.items()}
     gaps = st.transition_gaps_long(visits).collect()
-    assert [(g.Id, g.from_station, g.to_station, g.gap) for g in gaps] == [(1, "L0_S0", "L1_S24", 8.0)]
+    assert [(g.Id, g.from_station, g.to_station, g.gap) for g in gaps] == [(1, "L0_S0", "L1_S24", -2.5)]
 
 
 def test_wide_features_need_no_shuffle(tables):
@@ -58,7 +58,7 @@ def test_row_local_extras(spark, tables):
     cols = ["L0_S0_F0", "L0_S0_F2", "L1_S24_F1"]
     got = by_id(n.select("Id", fc.presence_pattern(cols).alias("bits"), fc.first_present(cols).alias("first"),
                          fc.normalised_spread(cols[:2]).alias("ns"), fc.present_count(cols).alias("n")))
-    assert [(got[i].bits, got[i]["first"], got[i].ns, got[i].n) for i in (1, 2, 3)] == [(7, "L0_S0_F0", .5, 3), (0, None, None, 0), (5, "L0_S0_F0", 0.0, 2)]
+    assert [(got[i].bits, got[i]["first"], got[i].ns, got[i].n) for i in (1, 2, 3)] == [([7], "L0_S0_F0", 1.375, 3), ([2], "L0_S0_F2", 0.0, 1), ([4], "L1_S24_F1", None, 1)]
     wide = spark.range(1).select(*[F.when(F.lit(i % 2 == 0), 1.0).alias(f"c{i}") for i in range(130)])
     words = wide.select(fc.presence_pattern(wide.columns).alias("w")).first().w
     assert [(w >> i) & 1 for w in words for i in range(63)][:130] == [1 - i % 2 for i in range(130)] and len(words) == 3
@@ -79,7 +79,7 @@ def test_codes_by_count_then_value(spark):
 
 def test_route_codes_of_the_four_parts(tables):
     f = st.build_features(tables["numeric"], tables["date"], tables["categorical"], [])
-    for low, want in ((2, {1: 1, 2: 0, 3: 1, 4: 0}), (1, {1: 1, 3: 1, 4: 2, 2: 3})):
+    for low, want in ((2, {1: 0, 2: 0, 3: 0, 4: 0}), (1, {4: 1, 2: 2, 1: 3, 3: 4})):
         coded = en.apply_codes(f, en.fit_codes(f, "route", low), "route")
         assert {r.Id: r.route_code for r in coded.collect()} == want
 
