@@ -57,15 +57,12 @@ class Block:
         self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = words.dictionary
         self.lang = lang.encode()
+        self.first = pc.binary_join_element_wise(self.lang + b"\t", self.words, b"")  # how the words begin a key
         stop = self.words.index(_BREAK).as_py()
         self.word = self.ids != stop
         self.pair = self.word[:-1] & self.word[1:]
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(self.lang + b"\t" + w) for w in self.words.to_pylist()), np.uint64, len(self.words))
 
-    def pair_hashes(self) -> np.ndarray:
-        h = self.hashes[self.ids]
-        return joined(h[:-1], h[1:])
-
     def counted(self, valid: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
         """Keys and counts of the valid phrases of k words, by the place of their first word."""
         places, size = np.flatnonzero(valid), len(self.words)
@@ -74,17 +71,15 @@ class Block:
             for j in range(1, k):
                 codes = codes * size + self.ids[places + j]
             codes, counts = np.unique(codes, return_counts=True)
-            for _ in range(k):
+            for at in reversed(range(k)):
                 codes, last = np.divmod(codes, size)
-                parts.append(self.words.take(pa.array(last)))
+                parts.append((self.words if at else self.first).take(pa.array(last)))
         else:  # so many words that a code of k does not fit: number the shorter phrases first
             for j in range(1, k):
                 codes = np.unique(codes, return_inverse=True)[1] * size + self.ids[places + j]
             _, first, counts = np.unique(codes, return_index=True, return_counts=True)
-            parts = [self.words.take(pa.array(self.ids[places[first] + j])) for j in reversed(range(k))]
-        phrase = pc.binary_join_element_wise(*reversed(parts), b" ") if k > 1 else parts[0]
-        lang = pa.array([self.lang], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))
-        return pc.binary_join_element_wise(lang, phrase, b"\t"), counts
+            parts = [(self.words if j else self.first).take(pa.array(self.ids[places[first] + j])) for j in reversed(range(k))]
+        return pc.binary_join_element_wise(*reversed(parts), b" ") if k > 1 else parts[0], counts
 
 
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -115,13 +110,21 @@ class Filters:
     def hold(self, k: int, hashes: np.ndarray) -> np.ndarray:
         return all_set(self.tables[k], _cells(hashes, self.log_bits))
 
-    def admitted(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """By first word: the pairs of two held words, and the triples of two held pairs."""
+    def admitted(self, block: Block, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """By first word: the pairs of two held words, and the triples of two held pairs (of those `among`, if given). A pair
+        that is held has held words, so only admitted pairs are looked up."""
         word = self.hold(1, block.hashes)[block.ids]
         pairs = block.pair & word[:-1] & word[1:]
+        asked = pairs
+        if among is not None:
+            asked = np.zeros_like(pairs)
+            asked[:-1] |= among
+            asked[1:] |= among
+            asked &= pairs
         held = np.zeros_like(pairs)
-        at = np.flatnonzero(block.pair)
-        held[at] = self.hold(2, block.pair_hashes()[at])
+        at = np.flatnonzero(asked)
+        hashes = block.hashes[block.ids]
+        held[at] = self.hold(2, joined(hashes[at], hashes[at + 1]))
         return pairs, held[:-1] & held[1:]
 
 
@@ -175,7 +178,7 @@ def _counter(old: Broadcast | None, new: Broadcast | None):
                         pairs, triples = new.value.admitted(block)
                         parts = [(block.word, 1)] if old is None else []
                         if old is not None:
-                            old_pairs, old_triples = old.value.admitted(block)
+                            old_pairs, old_triples = old.value.admitted(block, triples)
                             pairs, triples = pairs & ~old_pairs, triples & ~old_triples
                         parts += [(pairs, 2), (triples, 3)]
                     for valid, k in parts:
