@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from partflow.llm import fingerprints as lz
 from partflow.llm.jaccard import join_region, near_duplicates
 from partflow.llm.licenses import LICENSES, scan_licenses
@@ -36,20 +37,23 @@ def test_lines(odd, odd_rows, none):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(holders[key(x)]) >= 3 and d != max(h for h in holders[key(x)] if h is not None))]
         want.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
-    got = [(r.doc_id, r.n_lines, r.n_dropped, sha(r.text)) for r in dedup_lines(odd).collect()]
-    assert counted(got) == counted(want) and sum(w[2] for w in want) >= 8
+    for batches, fanout in ((6, 3), (7, 2)):  # the second one makes three levels of runs
+        got = [(r.doc_id, r.n_lines, r.n_dropped, sha(r.text)) for r in dedup_lines(odd, batches=batches, fanout=fanout).collect()]
+        assert counted(got) == counted(want) and sum(w[2] for w in want) >= 8
     assert dedup_lines(none).collect() == []
 
 
 def test_line_runs_compact_and_keep_first_copies(odd):
-    entries = line_entries(odd)
+    entries = line_entries(odd).filter("doc_id IS NOT NULL")
     runs = LineRuns(fanout=2)
-    for b in range(3):
-        runs.add(entries.filter(f"pmod(doc_id, 3) = {b}"))
-    assert [len(level) for level in runs.levels] == [1, 1]
-    direct = {(r.line, r.n) for r in entries.filter("doc_id IS NOT NULL").groupBy("line").count().withColumnRenamed("count", "n").collect()}
-    assert {(r.line, r.n_docs) for r in runs.merged().collect()} == direct
-    assert runs.unseen(entries.filter("doc_id IS NOT NULL")).isEmpty() and not runs.unseen(entries).isEmpty()
+    for low, high in ((50, 99), (40, 50), (25, 40), (9, 25), (-5, 9)):  # falling ids
+        runs.add(entries.filter(f"doc_id >= {low} AND doc_id < {high}"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    direct = {(r.line, r.n, r.m) for r in entries.groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()}
+    assert {(r.line, r.n_docs, r.max_doc) for r in runs.merged().collect()} == direct
+    assert runs.unseen(entries).isEmpty() and not runs.unseen(line_entries(odd)).isEmpty()
+    held = [r.max_doc for level in runs.levels for run in level for r in run.collect()]
+    assert held.count(None) > 0  # a later batch adds only to the count of a line that a run holds
 
 
 def test_substrings(odd, odd_rows, none):
