@@ -12,8 +12,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# What a worker remembers; a full table is emptied and filled anew. With a vocabulary of 50,000 entries a worker holds about 100 MB.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_BYTES = 40_000, 60_000, 150_000, 8 << 20
+# What a worker remembers; a full table is emptied and filled anew. Measured with a vocabulary of 50,000 entries, a worker with
+# nearly full tables holds some 180 MB.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_BYTES = 400_000, 1_000_000, 600_000, 24 << 20
 ROOT, NONE, NEVER = 0, -1, 1 << 40
 LOOKAHEAD = 256  # prefixes kept before it is worth looking for a place to emit
 DECODE_IDS = 1 << 16  # ids decoded at a time
