@@ -13,7 +13,7 @@ from partflow.llm.common import read, stored
 from partflow.llm.fingerprints import fingerprint_chain
 from partflow.llm.jaccard import near_duplicates
 from partflow.llm.language import held_out, identify_languages, learn_languages
-from partflow.llm.licenses import scan_licenses, scan_sql
+from partflow.llm.licenses import notices, scan_licenses, scan_sql
 from partflow.llm.lines import dedup_lines
 from partflow.llm.packing import added_tokens, pack
 from partflow.llm.phrases import collocations
@@ -28,7 +28,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_licenses(read(spark, folder, "documents"))
+    docs = read(spark, folder, "documents").withColumn("notices", F.array_join(notices(spark, F.col("text")), ","))
+    return scan_licenses(docs, keep=("doc_id", "notices"))
 
 
 def op3(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import textwrap
 
 import numpy as np
 from pyspark.sql import functions as F
 from partflow.llm import fingerprints as lz
 from partflow.llm.jaccard import join_region, near_duplicates
-from partflow.llm.licenses import LICENSES, scan_licenses
+from partflow.llm.licenses import DIGESTS, LICENSES, notices, scan_licenses
 from partflow.llm.lines import LineRuns, dedup_lines, line_entries
 from partflow.llm.substrings import dedup_substrings
 
@@ -172,8 +174,29 @@ def test_likeness_follows_the_phrase_sets(odd_rows):
 
 
 def test_licenses(spark, none):
-    mit = dict(LICENSES)["MIT"]
-    texts = {1: mit, 2: "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace(",", " ;"), 3: mit + " more", 4: None, 5: "released UNDER the mit   licence", 6: ""}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.license for r in scan_licenses(docs).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: "MIT-notice", 6: None}
+    mit, bsd = dict(LICENSES)["MIT"], dict(LICENSES)["BSD-3-Clause"]
+    wrapped = lambda text, width: "\n".join(textwrap.wrap(text, width))
+    texts = {
+        1: (mit, "MIT"), 2: ("Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace(",", " ;"), "MIT"), 3: (mit + " more", None), 4: (None, None),
+        5: ("released UNDER the mit   licence", "MIT-notice"), 6: ("", None), 7: ("MIT License\n\nCopyright 2019 A. Person\n\n" + wrapped(mit, 70), "MIT"),
+        8: ("The MIT License (MIT)\n(c) 2001 me\n" + wrapped(mit, 31), "MIT"), 9: ("# BSD 3-Clause License\n\nCopyright (c) <year>, <owner>\n" + wrapped(bsd, 79), "BSD-3-Clause"),
+        10: (wrapped(dict(LICENSES)["Unlicense"], 60), "Unlicense"), 11: ("MIT License", None), 12: ("word " * 200_000, None),
+    }
+    rows = [(d, t, "x") for d, (t, _) in texts.items()] + [(None, mit, "x"), (1, mit, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body string").repartition(2)
+    got = [(r.doc_id, r.license) for r in scan_licenses(docs).collect()]
+    assert counted(got) == counted([(d, name) for d, (_, name) in texts.items()] + [(None, "MIT"), (1, "MIT")])
     assert scan_licenses(none).collect() == []
+    for name, digest in DIGESTS:
+        path = {"BSD-3-Clause-UC": "BSD", "Artistic-1.0-Perl": "Artistic"}.get(name, re.sub(r"(?<=GPL-[123])\.0$", "", name))
+        if os.path.exists(f"/usr/share/common-licenses/{path}"):
+            text = open(f"/usr/share/common-licenses/{path}", encoding="utf-8", errors="replace").read()
+            found = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+            assert (found.digest, found.license) == (digest, name)
+
+
+def test_notices_name_the_licences_of_lines(spark):
+    text = "code\nLicensed under the Apache Licence, version 2.0\nprose about a license\nReleased under the MIT License."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.found for r in docs.select("doc_id", notices(spark, F.col("text")).alias("found")).collect()}
+    assert got == {1: ["Apache-2.0-notice", "MIT-notice"], 2: [], 3: []}
