@@ -40,6 +40,19 @@ def test_sketch_ranges_are_close_in_rank(spark):
     assert ev.normal_ranges(long.where("value < 0")).count() == 0
 
 
+def test_a_new_day_is_sketched_alone_and_merged(spark, folder):
+    sorted_day = spark.range(40_000).select(F.lit(1).alias("day"), F.lit("a").alias("name"), F.col("id").cast("double").alias("value"))
+    skewed_day = spark.range(60_000).select(F.lit(2).alias("day"), F.lit("a").alias("name"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pow(F.lit(1.0002), F.col("id"))).alias("value"))
+    ev.append_sketches(ev.range_sketches(sorted_day), folder + "/s")
+    first = spark.read.parquet(folder + "/s")
+    assert first.count() == 1 and first.first().n == 40_000
+    ev.append_sketches(ev.range_sketches(skewed_day.unionByName(skewed_day.limit(3).withColumn("value", F.lit(None).cast("double")))), folder + "/s")
+    both = ev.sketched_ranges(spark.read.parquet(folder + "/s"))
+    errors = ev.rank_errors(sorted_day.unionByName(skewed_day), both).first()
+    assert errors.low_error <= 0.003 and errors.high_error <= 0.003
+    assert ev.sketched_ranges(ev.range_sketches(skewed_day.where("value < 0"))).count() == 0
+
+
 def test_part_evidence(spark, tables, policy):
     queue = spark.createDataFrame([(1, .2), (4, .3)], "part_id long, score double")
     ranges = spark.createDataFrame([("L0_S0_F0", 0.0, 0.4), ("L0_S0_F2", -1.0, 1.0)], "name string, low double, high double")
