@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Mapping, Sequence
+import threading
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from partflow.operators.splits import first_rows
 from partflow.session import materialized
 from partflow.sources.catalog import ID, LABEL
 
+# The view names and modes that proposed features are written for.
 VIEWS = {"numeric": "parts_numeric", "date": "parts_date", "categorical": "parts_categorical"}
 MODES = ("plain", "shuffled", "subset")
 NAME_RULE = re.compile(r"^[a-z][a-z0-9_]{0,62}$")  # fixed pattern of a feature name
@@ -87,22 +90,40 @@ def bind_ids(table: DataFrame, mapping: DataFrame) -> DataFrame:
             .select(ID, *[c for c in table.columns if c not in (ID, LABEL)]))
 
 
+_NAMES = threading.RLock()
+
+
+@contextmanager
+def shown_as(views: Mapping[str, DataFrame]) -> Iterator[SparkSession]:
+    """The session with the frames under these view names. One user at a time; a view of the caller's that had such a name
+    is back afterwards."""
+    spark: SparkSession = next(iter(views.values())).sparkSession
+    with _NAMES:
+        taken = {t.name for t in spark.catalog.listTables() if t.isTemporary} & set(views)
+        before = {name: spark.table(name) for name in taken}
+        try:
+            for name, frame in views.items():
+                frame.createOrReplaceTempView(name)
+            yield spark
+        finally:
+            for name in views:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
+
+
 def run_feature(feature: FeatureDef, views: Mapping[str, DataFrame]) -> DataFrame:
     """Resolve a feature against its views. SQL is analysed right here, so the views can be dropped after."""
     if feature.build is not None:
         out = feature.build(views)
     else:
-        spark: SparkSession = next(iter(views.values())).sparkSession
-        for kind, view in views.items():
-            view.createOrReplaceTempView(VIEWS[kind])
         try:
-            out = spark.sql(feature.sql)
-            out.schema  # noqa: B018 - force analysis while the views exist
+            with shown_as({VIEWS[kind]: view for kind, view in views.items()}) as spark:
+                out = spark.sql(feature.sql)
+                out.schema  # noqa: B018 - force analysis while the views exist
         except AnalysisException as exc:
             raise FeatureError(f"feature {feature.name} does not run: {exc}") from exc
-        finally:
-            for kind in views:
-                spark.catalog.dropTempView(VIEWS[kind])
     if ID not in out.columns or len(out.columns) < 2:
         raise FeatureError("a feature must return Id and at least one column")
     return out
@@ -205,14 +226,7 @@ def feature_status(decisions: DataFrame, decider: str = "warden") -> DataFrame:
 
 def explore(tables: Mapping[str, DataFrame], labels: DataFrame, sql: str, rows: int | None = None) -> DataFrame:
     """A read-only query over the train views, with labels visible as parts_labels: the whole result, or a page of rows."""
-    spark = labels.sparkSession
-    names = [*[VIEWS[k] for k in tables], "parts_labels"]
-    for kind, table in tables.items():
-        table.drop(LABEL).createOrReplaceTempView(VIEWS[kind])
-    labels.select(ID, LABEL).createOrReplaceTempView("parts_labels")
-    try:
+    views = {VIEWS[kind]: table.drop(LABEL) for kind, table in tables.items()} | {"parts_labels": labels.select(ID, LABEL)}
+    with shown_as(views) as spark:
         found = spark.sql(sql)
         return found if rows is None else first_rows(found, rows)
-    finally:
-        for name in names:
-            spark.catalog.dropTempView(name)

@@ -149,3 +149,13 @@ def test_new_columns_are_prefixed_capped_and_covering(spark, layout):
 def test_exploration_sees_labels_and_is_paged(layout):
     rows = sb.explore(layout[0], layout[0]["numeric"], "SELECT l.Response, count(*) AS n FROM parts_numeric n JOIN parts_labels l ON n.Id = l.Id GROUP BY 1", 10).collect()
     assert sum(r.n for r in rows) == 400
+
+
+def test_views_of_the_caller_come_back(spark):
+    own = spark.range(3)
+    own.createOrReplaceTempView("parts_numeric")
+    tables = {"numeric": spark.createDataFrame([(1, 0, 2.0)], "Id long, Response byte, L0_S0_F0 double")}
+    labels = spark.createDataFrame([(1, 0)], "Id long, Response byte")
+    assert sb.explore(tables, labels, "SELECT sum(L0_S0_F0) AS s FROM parts_numeric JOIN parts_labels USING (Id)").first().s == 2.0
+    assert spark.table("parts_numeric").count() == 3 and not spark.catalog.tableExists("parts_labels")
+    spark.catalog.dropTempView("parts_numeric")
