@@ -47,14 +47,14 @@ def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: D
     """(part_id, status, recommendation, errors) for every queued part.
 
     status is valid, rejected or missing; anything but valid recommends senior_review. Each disposition meets its
-    own evidence record in one join on part_id, and all checks are array expressions on that row. The schema's
-    column names enter as one array: their number is the width of the tables.
+    own evidence record in one join on part_id, and all checks are array expressions on that row. Names are looked up among
+    the schema's columns by one join of all claims, so no claim is compared with every column.
     """
-    known = schema_columns.agg(F.collect_set("name").alias("names")).scalar()
+    unknown = unknown_columns(dispositions, schema_columns).groupBy("part_id").agg(F.collect_set("column").alias("unknown"))
     d = F.col("disposition")
     rows = (queue.select("part_id").join(dispositions, "part_id", "left")
             .join(evidence.select("part_id", F.col("out_of_range").alias("actual")), "part_id", "left")
-            .withColumn("known", known))
+            .join(unknown, "part_id", "left"))
 
     none = F.array().cast("array<string>")
     missing = F.filter(F.array(*[F.when(F.col(f"disposition.{f}").isNull(), F.lit(f)) for f in REQUIRED]), lambda x: x.isNotNull())
@@ -64,7 +64,8 @@ def validate_dispositions(queue: DataFrame, dispositions: DataFrame, evidence: D
                         F.array(F.concat(F.lit("recommendation "), d["recommendation"], F.lit(" is none of the choices")))).otherwise(none)
 
     def column_error(where: str, name: Column) -> Column:
-        return (F.when(~F.array_contains(F.col("known"), name), F.concat(F.lit(f"{where}: column "), name, F.lit(" names no column of the tables")))
+        absent = F.array_contains(F.coalesce(F.col("unknown"), none), name) | (name == "")
+        return (F.when(absent, F.concat(F.lit(f"{where}: column "), name, F.lit(" names no column of the tables")))
                 .when(~F.array_contains(F.coalesce(F.col("allowed_columns"), none), name),
                       F.concat(F.lit(f"{where}: column "), name, F.lit(" is missing from the part record"))))
 
