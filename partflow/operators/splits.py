@@ -75,8 +75,9 @@ def in_split(splits: DataFrame, name: str) -> DataFrame:
 
 
 def split_view(table: DataFrame, splits: DataFrame, name: str) -> DataFrame:
-    """Rows of one split. A semi join on Id; no broadcast hint, because the id list grows with the data."""
-    return table.join(in_split(splits, name).select(ID), ID, "left_semi")
+    """Rows of one split. A semi join on Id that never broadcasts: the id list grows with the data, and its file is far
+    smaller than its rows."""
+    return table.join(in_split(splits, name).select(ID).hint("merge"), ID, "left_semi")
 
 
 def shared_bitmaps(ids: DataFrame, reference: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def ordered_queue(spark, folder):
 
 def train_long(spark, folder):
     long = measurements_long(b.numeric(spark, folder), "numeric")
-    return long.join(in_split(b.split_table(spark, folder), "train").select("Id"), "Id", "left_semi")
+    return long.join(in_split(b.split_table(spark, folder), "train").select("Id").hint("merge"), "Id", "left_semi")
 
 
 def written(spark, folder):
