@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,21 @@ def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                         F.sha2("content", 256).alias("sha256"))
 
 
+def table_digests(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+    """(name, bytes, sha256) per entry of a folder that matches: a file, or a table that is a folder of files.
+
+    A file has its own digest. A folder has that of its files' paths and digests in order, one short line a file, so the
+    name of a table stays the same when it is written as several files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path.rstrip('/')}/{glob}")
+    entry = f"^.*/{re.escape(path.rstrip('/').split('/')[-1])}/([^/]+)(/.*)?$"
+    name, rest = F.regexp_extract("path", entry, 1), F.regexp_extract("path", entry, 2)
+    one = files.select(name.alias("name"), rest.alias("inside"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = F.array_sort(F.collect_list(F.concat_ws(" ", "inside", "sha256")))
+    grouped = one.groupBy("name").agg(F.sum("bytes").alias("bytes"), F.max("inside").alias("inside"), F.first("sha256").alias("own"), lines.alias("lines"))
+    return grouped.select("name", "bytes", F.when(F.col("inside") == "", F.col("own")).otherwise(F.sha2(F.array_join("lines", "\n"), 256)).alias("sha256"))
+
+
 def audit_files(digests: DataFrame, manifest: DataFrame) -> DataFrame:
     """Every file and every manifest entry with a verdict: ok, mismatch, missing or unlisted."""
     actual = digests.select("name", F.col("sha256").alias("actual"))

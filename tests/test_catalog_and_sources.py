@@ -65,6 +65,18 @@ def test_audit_verdicts_match_hashlib(spark, folder):
     assert found == {"a.csv": "ok", "b.csv": "mismatch", "c.csv": "unlisted", "gone.csv": "missing"}
 
 
+def test_a_table_of_several_files_goes_by_its_own_name(spark, folder):
+    spark.range(5).coalesce(1).write.parquet(os.path.join(folder, "few.parquet"))
+    spark.range(50).repartition(3).write.parquet(os.path.join(folder, "many.parquet"))
+    with open(os.path.join(folder, "one.parquet"), "wb") as handle:
+        handle.write(b"1")
+    found = {r.name: r.sha256 for r in ms.table_digests(spark, folder).collect()}
+    assert set(found) == {"few.parquet", "many.parquet", "one.parquet"} and found["one.parquet"] == hashlib.sha256(b"1").hexdigest()
+    spark.range(1).write.mode("append").parquet(os.path.join(folder, "few.parquet"))
+    again = {r.name: r.sha256 for r in ms.table_digests(spark, folder).collect()}
+    assert [n for n in found if found[n] != again[n]] == ["few.parquet"]
+
+
 def test_stale_inputs(spark):
     inventory = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")], "name string, sha256 string")
     log = spark.createDataFrame([("a", "1", 5), ("b", "old", 5), ("c", "3", 5)], "name string, sha256 string, rows long")
