@@ -91,7 +91,7 @@ def s10(spark, folder):
 
 def decision_files(spark, folder):
     path = scratch_path(spark, "decisions")
-    d = b.decisions(spark, folder)
+    d = b.decisions(spark, folder, numbered=True)
     lg.append_label(d.where("action = 'ship'"), path)
     lg.append_label(d.where("action <> 'ship'"), path)
     return path
@@ -108,7 +108,7 @@ def f9(spark, folder):
 def k2(spark, folder):
     """Decision files, one of them delivered twice, through the stream."""
     path = decision_files(spark, folder)
-    lg.append_label(b.decisions(spark, folder).where("action = 'scrap'"), path)
+    lg.append_label(b.decisions(spark, folder, numbered=True).where("action = 'scrap'"), path)
     out = each_once(drain(label_stream(decision_source(spark, path)), "labels"))
     return out.select("part_id", "action", "label", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 

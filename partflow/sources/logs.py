@@ -11,6 +11,7 @@ from partflow.functions.scoring import label_for
 ACTION_LABELS = {"ship": 0, "scrap": 1, "senior_review": None}
 
 LABEL_COLUMNS = ("part_id", "action", "label", "at")
+DECISION_NUMBER = "decision_id"
 DECISION_SCHEMA = "part_id long, action string, label int, at string"
 TRACE_SCHEMA = ("at string, event string, task string, tool string, spent_usd double, status string, "
                 "result struct<lift: double, shuffled_lift: double, collapse: double>")
@@ -56,8 +57,10 @@ def labelled(decisions: DataFrame) -> DataFrame:
 
 
 def append_label(decisions: DataFrame, path: str) -> None:
-    """Append (part_id, action, at) decisions with their labels; existing lines are never rewritten."""
-    labelled(decisions).select(*LABEL_COLUMNS).write.mode("append").option("ignoreNullFields", False).json(path)
+    """Append (part_id, action, at) decisions with their labels and, where they have one, their decision_id; existing lines
+    are never rewritten."""
+    number = [c for c in (DECISION_NUMBER,) if c in decisions.columns]
+    labelled(decisions).select(*LABEL_COLUMNS, *number).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def labelled_only(decisions: DataFrame) -> DataFrame:

@@ -129,6 +129,15 @@ def test_decisions_stream_labels_once(spark, folder):
     assert sorted((r.part_id, r.action, r.label) for r in rows if r.label is not None) == [(1, "ship", 0), (3, "scrap", 1)] and len(rows) == 3
 
 
+def test_equal_decisions_of_one_second_are_told_apart_by_number(spark, folder):
+    source = os.path.join(folder, "in")
+    os.makedirs(source)
+    line = {"part_id": 1, "action": "ship", "at": "2026-01-01 00:00:00"}
+    write(source, "a.json", [{**line, "decision_id": 1}, {**line, "decision_id": 2}])
+    write(source, "b.json", [{**line, "decision_id": 2}])
+    assert rv.each_once(rv.drain(rv.label_stream(rv.decision_source(spark, source)), "labels")).count() == 2
+
+
 def test_damaged_lines_and_unknown_fields_stay(spark, folder):
     good = [json.dumps({"at": "2026-01-01", "event": "agent_start", "task": "t", "model": {"name": "m", "size": 3}}), json.dumps({"event": 7})]
     with open(os.path.join(folder, "a-1.jsonl"), "w") as f:
