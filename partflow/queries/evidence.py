@@ -44,7 +44,7 @@ def written(spark, folder):
 
 
 def evidence(spark, folder):
-    f, band = b.feature_table(spark, folder).select("Id", "route"), policy(spark, folder)
+    f, band = b.route_table(spark, folder), policy(spark, folder)
     return ev.part_evidence(materialized(ev.band_parts(validation(spark, folder), band)), measurements_long(b.numeric(spark, folder), "numeric"),
                             measurements_long(b.dates(spark, folder), "date"), f,
                             ev.normal_ranges(train_long(spark, folder), exact=True), band)
@@ -98,7 +98,8 @@ def j11(spark, folder):
 
 
 def near_features(spark, folder):
-    return b.feature_table(spark, folder).select("Id", "Response", "route", *NEAR)
+    """Only the columns that are compared, computed from the wide tables; no feature table is written for them."""
+    return b.features(spark, folder).select("Id", "Response", "route", *NEAR)
 
 
 def matches(spark, folder):

@@ -88,7 +88,7 @@ def p12(spark, folder):
 
 
 def routes(spark, folder):
-    return b.feature_table(spark, folder).select("Id", "Response", "route")
+    return b.parts(spark, folder).join(b.route_table(spark, folder).hint("merge"), "Id")
 
 
 def train_routes(spark, folder):
@@ -154,7 +154,7 @@ QUERIES = [
           b.with_ctes("visits", "SELECT Id, max(d2) - min(d1) AS elapsed, count(*) AS n_stations, min(d1) AS start_ts FROM visits GROUP BY Id")),
     Query("P6_category_codes", lambda s, d: st.category_codes(b.categorical(s, d), b.categorical_columns()), b.with_ctes("cat", f"SELECT Id, {CODE_SQL} FROM cat")),
     Query("P7_category_counts", lambda s, d: st.category_counts(b.categorical(s, d)), b.with_ctes("cat", f"SELECT Id, {COUNT_SQL} FROM cat")),
-    Query("P8_route", lambda s, d: b.features(s, d).select("Id", "route"), b.with_ctes("num dat", f"SELECT Id, {ROUTE_SQL} AS route FROM num JOIN dat USING (Id)")),
+    Query("P8_route", lambda s, d: st.part_routes(b.numeric(s, d), b.dates(s, d)), b.with_ctes("num dat", f"SELECT Id, {ROUTE_SQL} AS route FROM num JOIN dat USING (Id)")),
     Query("P8_route_long", p8_long, b.with_ctes("routes", "SELECT * FROM routes")),
     Query("P9_columns_like", p9, b.with_ctes("dat", "SELECT Id, least(*COLUMNS('^L1_S[0-9]+_D[0-9]+$')) AS line1_start FROM dat")),
     Query("P10_drop_label_and_id", lambda s, d: fc.without(b.numeric(s, d), "Id", "Response"), b.with_ctes("num", "SELECT * EXCLUDE (Id, Response) FROM num")),
