@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from partflow.operators import citations as ci, evidence as ev, neighbours as nb
 from partflow.operators.cost import build_policy
-from partflow.operators.splits import in_split, split_view, start_times
+from partflow.operators.splits import split_view, start_times
 from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 from partflow.queries.sqlparts import policy_sql
@@ -34,8 +34,8 @@ def ordered_queue(spark, folder):
 
 
 def train_long(spark, folder):
-    long = measurements_long(b.numeric(spark, folder), "numeric")
-    return long.join(in_split(b.split_table(spark, folder), "train").select("Id").hint("merge"), "Id", "left_semi")
+    """The train readings. Wide rows meet the split: a reading a row is many times as much to move."""
+    return measurements_long(split_view(b.numeric(spark, folder), b.split_table(spark, folder), "train"), "numeric")
 
 
 def written(spark, folder):
@@ -45,8 +45,10 @@ def written(spark, folder):
 
 def evidence(spark, folder):
     f, band = b.route_table(spark, folder), policy(spark, folder)
-    return ev.part_evidence(materialized(ev.band_parts(validation(spark, folder), band)), measurements_long(b.numeric(spark, folder), "numeric"),
-                            measurements_long(b.dates(spark, folder), "date"), f,
+    parts = materialized(ev.band_parts(validation(spark, folder), band))
+    ids = parts.select(F.col("part_id").alias("Id")).hint("merge")
+    queued = lambda kind, table: measurements_long(table.join(ids, "Id", "left_semi"), kind)  # noqa: E731 - wide rows move, not single readings
+    return ev.part_evidence(parts, queued("numeric", b.numeric(spark, folder)), queued("date", b.dates(spark, folder)), f,
                             ev.normal_ranges(train_long(spark, folder), exact=True), band)
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partflow.operators import citations as ci, evidence as ev
+from partflow.queries import evidence as queries
 from partflow.queries.evidence import dispositions
 from partflow.sources.catalog import measurements_long
 
@@ -113,6 +114,16 @@ def test_misquoted_large_readings_are_found(spark):
     assert {r.part_id: wrong in r.errors for r in found.collect()} == {11: True, 12: False}
 
 
+def test_train_readings_are_cut_before_they_are_long(spark, tables, monkeypatch):
+    splits = spark.createDataFrame([(1, "train"), (2, "validation")], "Id long, split string")
+    monkeypatch.setattr(queries.b, "numeric", lambda spark, folder: tables["numeric"])
+    monkeypatch.setattr(queries.b, "split_table", lambda spark, folder: splits)
+    long = queries.train_long(spark, "")
+    assert {r.Id for r in long.collect()} == {1}
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # the join lies below: it moves a row a part
+
+
 def test_top_gain(spark):
     gains = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 3.0), ("route_code", 9.0)], "feature string, gain double")
     assert [r.feature for r in ev.top_gain(gains, 2, exclude=["route_code"]).collect()] == ["b", "c"]
