@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from partflow.functions.draws import inverse_binomial_sql
 from partflow.operators import metrics as m
 from partflow.operators.cost import build_policy
-from partflow.operators.splits import start_times
 from partflow.plans.ensemble import early_stopping_tail
 from partflow.plans.holdout import decision_metrics
 from partflow.queries import bindings as b
@@ -45,9 +44,9 @@ def m11(spark, folder):
 def m8(spark, folder):
     """The tail is the latest share of the train parts."""
     validation, train = (b.split_scores(spark, folder, s) for s in ("validation", "train"))
-    begun = start_times(b.dates(spark, folder)).join(train.select(F.col("id").alias("Id")), "Id", "left_semi").withColumnRenamed("min_ts", "start_ts")
+    begun = b.split_table(spark, folder).where("split = 'train'").select("Id", F.col("min_ts").alias("start_ts"))
     latest = early_stopping_tail(begun, 0.15).where("in_tail").select(F.col("Id").alias("id"))
-    return m.threshold_report(materialized(validation), materialized(train.join(latest, "id", "left_semi")))
+    return m.threshold_report(materialized(validation), materialized(train.join(latest.hint("merge"), "id", "left_semi")))
 
 
 def bootstrap(spark, folder):

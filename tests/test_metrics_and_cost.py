@@ -208,3 +208,27 @@ def test_compare_policies_lists_changes(scored):
 def test_negative_indifference_is_rejected():
     with pytest.raises(ValueError):
         CostParameters(1, 1, 1, 1, 1, -1)
+
+
+def test_draws_are_dealt_over_tasks(spark):
+    """A draw sums as many numbers as the root of all rows, so the draws of one row of counts are not one task's work."""
+    from partflow.operators.metrics import resampled_counts
+    cells = spark.createDataFrame([(5, 7, 80, 8)], "tp long, fp long, tn long, fn long")
+    drawn = resampled_counts(cells, 200, 0)
+    assert drawn.select(F.spark_partition_id().alias("t")).distinct().count() > 8
+    assert {r.draw for r in drawn.where("tp + fp + tn + fn = 100").collect()} == set(range(200))
+
+
+def test_report_and_splits_write_no_date_table(spark, folder):
+    """The start of a part is one number; fourteen date columns a part are not written to find it."""
+    import datetime
+    from partflow.queries import bindings as b
+    from partflow.queries.metrics import m8
+    at = datetime.datetime(1994, 1, 1)
+    spark.createDataFrame([(i, i, "F" if i % 3 else "O", "1-URGENT" if i % 2 else "2-HIGH") for i in range(60)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(i, n, at + datetime.timedelta(days=i + n)) for i in range(59) for n in (1, 2)],
+                          "l_orderkey long, l_linenumber int, l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
+    assert m8(spark, folder).count() == 1
+    assert {r.Id: r.split for r in b.split_table(spark, folder).collect()}[59] == "train"  # a part without readings
+    assert {name for _, d, name in b._WRITTEN if d == folder} == {"starts", "splits"}
