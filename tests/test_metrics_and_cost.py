@@ -216,7 +216,8 @@ def test_draws_are_dealt_over_tasks(spark):
     cells = spark.createDataFrame([(5, 7, 80, 8)], "tp long, fp long, tn long, fn long")
     drawn = resampled_counts(cells, 200, 0)
     assert drawn.select(F.spark_partition_id().alias("t")).distinct().count() > 8
-    assert {r.draw for r in drawn.where("tp + fp + tn + fn = 100").collect()} == set(range(200))
+    rows = drawn.collect()
+    assert {r.draw for r in rows} == set(range(200)) and all(r.tp + r.fp + r.tn + r.fn == 100 for r in rows)
 
 
 def test_report_and_splits_write_no_date_table(spark, folder):
