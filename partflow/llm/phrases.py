@@ -181,6 +181,8 @@ def _counter(old: Broadcast | None, new: Broadcast | None):
                             old_pairs, old_triples = old.value.admitted(block, triples)
                             pairs, triples = pairs & ~old_pairs, triples & ~old_triples
                         parts += [(pairs, 2), (triples, 3)]
+                    if old is None and new is not None:  # all words of the language, under a key without a phrase
+                        yield pa.record_batch([pa.array([f"{lang}{TAB}"]), pa.array([int(block.word.sum())], pa.int64())], names=["key", "f"])
                     for valid, k in parts:
                         keys, counts = block.counted(valid, k)
                         yield pa.record_batch([keys.cast(pa.string()), pa.array(counts)], names=["key", "f"])
@@ -218,11 +220,12 @@ def mined_counts(docs: DataFrame, support: int = SUPPORT, sample_parts: int = SA
     proposed = stored(_pass(sample, None, None).filter(F.col("f") >= sample_support), "proposed")
     filters = context.broadcast(Filters(log_bits).grown(proposed))
     dropped(proposed)
-    counted = stored(_pass(said, None, filters), "phrases")
-    by_lang = stored(of_words(counted, 1).groupBy(language_of().alias("lang")).agg(F.sum("f").alias("n")), "words")
-    frequent, passes = stored(counted.filter(F.col("f") >= support), "frequent"), 1
+    total = F.endswith("key", F.lit(TAB))
+    # phrases below the support are counted and let go: only what is frequent, and a total a language, is written
+    counted = stored(_pass(said, None, filters).filter((F.col("f") >= support) | total), "phrases")
+    by_lang = counted.filter(total & (F.col("f") > 0)).select(language_of().alias("lang"), F.col("f").alias("n"))
+    frequent, passes = counted.filter(~total), 1
     fresh = frequent
-    dropped(counted)
     while True:
         missed = stored(_missed(fresh, filters), "missed")
         if missed.isEmpty():

@@ -71,3 +71,15 @@ def test_runs_are_cut_at_breaks(monkeypatch):
     assert len(runs) > 3 and b"." .join(runs) == text
     block = ph.Block(b"a b a b. a b", "en")
     assert dict(zip(*[x.to_pylist() if hasattr(x, "to_pylist") else x.tolist() for x in block.counted(block.pair, 2)])) == {b"en\ta b": 3, b"en\tb a": 1}
+
+
+def test_only_frequent_phrases_and_totals_are_written(spark, monkeypatch):
+    """Words and phrases below the support count for their language's total and are not stored."""
+    written, store = {}, ph.stored
+    monkeypatch.setattr(ph, "stored", lambda df, label: written.update({label: store(df, label)}) or written[label])
+    rare = " ".join(f"w{i}" for i in range(500))
+    docs = spark.createDataFrame([("en", "a b. " * 20 + rare), ("de", "x y z"), ("fr", " . ")], "lang string, text string")
+    frequent, by_lang, _ = ph.mined_counts(docs)
+    assert {r.lang: r.n for r in by_lang.collect()} == {"en": 540, "de": 3}
+    assert {r.key: r.f for r in frequent.collect()} == {"en\ta": 20, "en\tb": 20, "en\ta b": 20}
+    assert written["phrases"].count() <= 6
