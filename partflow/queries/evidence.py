@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partflow.operators import citations as ci, evidence as ev, neighbours as nb
+from partflow.operators import citations as ci, evidence as ev, neighbours as nb, stations as st
 from partflow.operators.cost import build_policy
 from partflow.operators.splits import split_view, start_times
 from partflow.queries import bindings as b
@@ -101,7 +101,7 @@ def j11(spark, folder):
 
 def near_features(spark, folder):
     """Only the columns that are compared, computed from the wide tables; no feature table is written for them."""
-    return b.features(spark, folder).select("Id", "Response", "route", *NEAR)
+    return st.timed_features(b.numeric(spark, folder), b.dates(spark, folder)).select("Id", "Response", "route", *NEAR)
 
 
 def matches(spark, folder):
