@@ -189,10 +189,10 @@ def _meeting(k: int) -> Callable[[pa.Table], pa.Table]:
     """Those of a block of queued parts that reach a leaf, against the leaf."""
 
     def run(row: pa.Table) -> pa.Table:
-        reached, qids, queued, bounds, ids, ys, points = _lists(row, "reached", "qids", "queued", "bounds", "ids", "ys", "points")
+        qids, queued, bounds, ids, ys, points = _lists(row, "qids", "queued", "bounds", "ids", "ys", "points")
         queued, points = queued.reshape(len(qids), -1), points.reshape(len(ids), -1)
-        at, to, d2 = _exact(queued[reached], points, ids, bounds[reached], k)
-        return pa.table({"qid": pa.array(qids[reached][at], pa.int64()), "id": pa.array(ids[to], pa.int64()), "y": pa.array(ys[to], pa.int32()), "d2": pa.array(d2)})
+        at, to, d2 = _exact(queued, points, ids, bounds, k)
+        return pa.table({"qid": pa.array(qids[at], pa.int64()), "id": pa.array(ids[to], pa.int64()), "y": pa.array(ys[to], pa.int32()), "d2": pa.array(d2)})
 
     return run
 
@@ -230,11 +230,19 @@ def leaf_visits(queue: DataFrame, train: DataFrame, k: int, leaf_rows: int = LEA
     return met.where(F.size("reached") > 0).select("grp", "home", "part", "node", "parts", "reached"), blocks, levels[-1]
 
 
+def _sent(met: DataFrame) -> DataFrame:
+    """Visits with those queued parts of the block that reach the leaf: the others need not move to it."""
+    d = "CAST(size(queued) DIV size(qids) AS INT)"
+    return met.select("grp", "home", "part", "node", F.expr("transform(reached, i -> qids[i])").alias("qids"), F.expr("transform(reached, i -> bounds[i])").alias("bounds"),
+                      F.expr(f"flatten(transform(reached, i -> slice(queued, CAST(i * {d} + 1 AS INT), {d})))").alias("queued"))
+
+
 def _search(queue: DataFrame, train: DataFrame, k: int, leaf_rows: int) -> DataFrame:
     """Rows (qid, id, y, d2) that hold the k closest train parts of each queued one; both sides carry grp and z."""
     visits, blocks, leaves = leaf_visits(queue, train, k, leaf_rows)
     queued = blocks.select("grp", F.col("node").alias("home"), "part", F.col("ids").alias("qids"), F.col("points").alias("queued"), "bounds")
-    met = visits.select("grp", "home", "part", "node", "reached").join(queued, ["grp", "home", "part"]).join(leaves.select("grp", "node", "ids", "ys", "points"), ["grp", "node"])
+    met = _sent(visits.select("grp", "home", "part", "node", "reached").join(queued, ["grp", "home", "part"]))
+    met = met.join(leaves.select("grp", "node", "ids", "ys", "points"), ["grp", "node"])
     return met.groupBy("grp", "home", "part", "node").applyInArrow(_meeting(k), "qid long, id long, y int, d2 double")
 
 
