@@ -54,3 +54,18 @@ def materialized(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes the rows once, so later passes agree even after an executor is lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+ROWS_A_TASK = 1 << 20  # rows that a task of a large shuffle takes, whatever the number of rows in all
+
+
+def tasks_for(df: DataFrame, rows: int = ROWS_A_TASK) -> int | None:
+    """How many tasks a shuffle of the rows of a table needs; nothing where the session's own number is enough. The rows of a
+    scan are counted from the footers of its files."""
+    wanted = -(-df.count() // rows)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """Rows dealt by a key over that many tasks, or as the session has it, so that AQE may still join small ones."""
+    return df.repartition(key) if tasks is None else df.repartition(tasks, key)
