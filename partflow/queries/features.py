@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from partflow.functions import columns as fc
 from partflow.operators import encoding as en, stations as st
 from partflow.operators.evidence import normal_ranges
-from partflow.operators.splits import in_split, split_view
+from partflow.operators.splits import split_view
 from partflow.operators.sandbox import align_labels
 from partflow.queries import bindings as b
 from partflow.queries.registry import Query
 from partflow.queries.sqlparts import hash_sql
+from partflow.session import materialized
 from partflow.sources.catalog import measurements_long
 
 S = b.STATIONS
@@ -96,9 +97,8 @@ def train_routes(spark, folder):
 
 
 def p15(spark, folder):
-    long = number_long(spark, folder)
-    train = long.join(in_split(b.split_table(spark, folder), "train").select("Id"), "Id", "left_semi")
-    return st.out_of_range_count(long, normal_ranges(train, exact=True))
+    train = measurements_long(b.train_numeric(spark, folder), "numeric")
+    return st.out_of_range_by_station(b.numeric(spark, folder), materialized(normal_ranges(train, exact=True)))
 
 
 def a5(spark, folder):
