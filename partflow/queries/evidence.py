@@ -35,7 +35,7 @@ def ordered_queue(spark, folder):
 
 def train_long(spark, folder):
     """The train readings. Wide rows meet the split: a reading a row is many times as much to move."""
-    return measurements_long(split_view(b.numeric(spark, folder), b.split_table(spark, folder), "train"), "numeric")
+    return measurements_long(b.train_numeric(spark, folder), "numeric")
 
 
 def written(spark, folder):

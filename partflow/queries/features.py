@@ -179,7 +179,7 @@ QUERIES = [
                                 "sum(Response) OVER (PARTITION BY route, fold) AS fbad, count(*) OVER (PARTITION BY route, fold) AS fn FROM f)",
                       f"f AS (SELECT r.Id, route, Response, CAST({hash_sql('r.Id', '17')} % 5 AS INTEGER) AS fold FROM routes r JOIN parts p ON p.Id = r.Id)"), ["route_failure_rate"]),
     Query("G1_build_features", b.features, b.with_ctes(BOUND, ALL_SQL), [f"{s}_num_range" for s in NUM]),
-    Query("J2_join_features", lambda s, d: st.join_features(b.numeric(s, d), b.dates(s, d), b.categorical(s, d)), b.with_ctes(BOUND, "SELECT * FROM num JOIN dat USING (Id) JOIN cat USING (Id)")),
+    Query("J2_join_features", lambda s, d: st.join_features(*b.dealt_wide(s, d).values()), b.with_ctes(BOUND, "SELECT * FROM num JOIN dat USING (Id) JOIN cat USING (Id)")),
     Query("A4_column_coverage", lambda s, d: en.column_coverage(b.numeric(s, d)),
           b.with_ctes("num", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS present, CAST(count({c}) AS DOUBLE) / count(*) AS share FROM num" for c in flat(NUM))), ["share"]),
     Query("A5_select_categorical", a5,

@@ -134,3 +134,15 @@ def test_readings_are_dealt_before_they_are_reduced(spark):
     rows = spark.range(1000)
     assert (tasks_for(rows, 1000), tasks_for(rows, 100)) == (None, 10)
     assert dealt(rows, "id", 10).rdd.getNumPartitions() == 10
+
+
+def test_all_joins_of_parts_are_dealt_by_their_rows(spark, monkeypatch):
+    """With more rows than the session's own partitions take, both sides of every join move once, over as many tasks."""
+    from partflow.queries import bindings as b
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(b, "tasks_for", lambda df: 7)
+    t = b.dealt_wide(spark, folder)
+    for frame, moves in ((st.join_features(*t.values()), 3), (b.train_numeric(spark, folder), 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == moves == plan.count(", 7), ")
