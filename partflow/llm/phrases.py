@@ -18,7 +18,7 @@ from partflow.llm.common import dropped, mixed, salted_join, stored
 SUPPORT, TOP, HOLDING = 10, 2000, 50  # least count, phrases a language, percent of a phrase's places that a longer one may hold
 SAMPLE_PARTS, SAMPLE_SUPPORT = 4, 2  # one document in four proposes; a quarter of the support, lowered
 PROBES, LOG_BITS = 4, 26  # the filters of admitted words and pairs: 8 MB each, whatever the corpus; a full one admits more, never less
-BLOCK, ROWS = 1 << 20, 512  # bytes of text counted at a time, rows taken from a batch at a time
+BLOCK, HELD, ROWS = 1 << 20, 4 << 20, 512  # bytes of text counted at a time, bytes that wait for it, rows taken from a batch at a time
 TAB = "\t"  # between language and phrase of a key; no phrase holds one
 
 _BREAK = b"."  # every break of the contract becomes this one
@@ -53,7 +53,8 @@ class Block:
     """The words of a run of texts of one language as numbers, with a hash each, and which neighbours make a phrase."""
 
     def __init__(self, run: bytes, lang: str):
-        words = pa.array(run.replace(_BREAK, b" . ").split() or [_BREAK], pa.binary()).dictionary_encode()
+        words = pc.split_pattern(pa.array([run.replace(_BREAK, b" . ").strip() or _BREAK], pa.binary()), b" ").flatten()
+        words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
         self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = words.dictionary
         self.lang = lang.encode()
@@ -82,6 +83,24 @@ class Block:
         return pc.binary_join_element_wise(*reversed(parts), b" ") if k > 1 else parts[0], counts
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Runs of about a block with their language, over all batches: a word or phrase is counted once in each. The texts that
+    wait for more of their language have HELD bytes at most, whatever the number of languages."""
+    waiting: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    held = 0
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            waiting.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+            held += len(text) + 1
+            for full in [lang] if sizes[lang] >= BLOCK else list(sizes) if held >= HELD else []:
+                held -= sizes.pop(full)
+                yield from ((full, run) for run in _segments(waiting.pop(full)))
+    for lang, texts in waiting.items():
+        yield from ((lang, run) for run in _segments(texts))
+
+
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The hash of a pair, from those of its words."""
     with np.errstate(over="ignore"):
@@ -165,27 +184,22 @@ def _counter(old: Broadcast | None, new: Broadcast | None):
     both: what the new ones admit and the old ones did not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                for part in _segments(texts):
-                    block = Block(part, lang)
-                    if new is None:
-                        parts = [(block.word, 1), (block.pair, 2)]
-                    else:
-                        pairs, triples = new.value.admitted(block)
-                        parts = [(block.word, 1)] if old is None else []
-                        if old is not None:
-                            old_pairs, old_triples = old.value.admitted(block, triples)
-                            pairs, triples = pairs & ~old_pairs, triples & ~old_triples
-                        parts += [(pairs, 2), (triples, 3)]
-                    if old is None and new is not None:  # all words of the language, under a key without a phrase
-                        yield pa.record_batch([pa.array([f"{lang}{TAB}"]), pa.array([int(block.word.sum())], pa.int64())], names=["key", "f"])
-                    for valid, k in parts:
-                        keys, counts = block.counted(valid, k)
-                        yield pa.record_batch([keys.cast(pa.string()), pa.array(counts)], names=["key", "f"])
+        for lang, text in _runs(batches):
+            block = Block(text, lang)
+            if new is None:
+                parts = [(block.word, 1), (block.pair, 2)]
+            else:
+                pairs, triples = new.value.admitted(block)
+                parts = [(block.word, 1)] if old is None else []
+                if old is not None:
+                    old_pairs, old_triples = old.value.admitted(block, triples)
+                    pairs, triples = pairs & ~old_pairs, triples & ~old_triples
+                parts += [(pairs, 2), (triples, 3)]
+            if old is None and new is not None:  # all words of the language, under a key without a phrase
+                yield pa.record_batch([pa.array([f"{lang}{TAB}"]), pa.array([int(block.word.sum())], pa.int64())], names=["key", "f"])
+            for valid, k in parts:
+                keys, counts = block.counted(valid, k)
+                yield pa.record_batch([keys.cast(pa.string()), pa.array(counts)], names=["key", "f"])
 
     return run
 

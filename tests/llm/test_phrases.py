@@ -3,6 +3,7 @@
 import collections
 import re
 
+import pyarrow as pa
 import pytest
 from partflow.llm import phrases as ph
 
@@ -83,3 +84,15 @@ def test_only_frequent_phrases_and_totals_are_written(spark, monkeypatch):
     assert {r.lang: r.n for r in by_lang.collect()} == {"en": 540, "de": 3}
     assert {r.key: r.f for r in frequent.collect()} == {"en\ta": 20, "en\tb": 20, "en\ta b": 20}
     assert written["phrases"].count() <= 6
+
+
+def test_texts_of_a_language_are_counted_together_over_batches(monkeypatch):
+    batches = [pa.record_batch([pa.array(["en", "de", "en"]), pa.array(["a b", "x y", "c"])], names=["lang", "text"])] * 3
+    assert list(ph._runs(iter(batches))) == [("en", b"a b.c.a b.c.a b.c"), ("de", b"x y.x y.x y")]
+    monkeypatch.setattr(ph, "BLOCK", 8)
+    assert [r for r in ph._runs(iter(batches)) if r[0] == "en"] == [("en", b"a b.c.a b"), ("en", b"c.a b.c")]
+    monkeypatch.setattr(ph, "BLOCK", 1 << 20)
+    monkeypatch.setattr(ph, "HELD", 20)  # many languages wait for no more than this
+    many = [pa.record_batch([pa.array([f"l{i}" for i in range(50)]), pa.array(["a b"] * 50)], names=["lang", "text"])]
+    runs = list(ph._runs(iter(many)))
+    assert len(runs) == 50 and [r[0] for r in runs[:5]] == [f"l{i}" for i in range(5)]
