@@ -3,7 +3,8 @@
 Jaccard distance is a metric. A first level of pivots is single shingles: a document can only have a partner in the regions
 of its rarest shingles, as many as a partner may lack. Regions that share documents are joined to one, whose pivots are
 documents: each settles what lies within the radius, and the triangle inequality tells which settled documents may still have
-a partner outside, so that they are copied to the rest, which is joined again.
+a partner outside, so that they are copied to the rest, which is joined again. Regions too large for one task are first parted
+by counting all of their shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ RADIUS = 1 - NUMERATOR / DENOMINATOR
 SLACK = 1e-9  # of distances in windows, never in links
 COUNTED = 0.26  # shingles whose hash lies in this share of all hashes are counted over the corpus; the rest come last
 COUNTED_BELOW = int(COUNTED * 2**64)
-REGION_SHINGLES = 3_000_000  # a region of more is cut by pivots before one task joins it
+REGION_SHINGLES = 3_000_000  # a region of more is cut, by its own counts and by pivots, before one task joins it
+BAND = 1.26  # of set sizes: partners lie in one band or in two that are next to each other
+NEAR = 2 * RADIUS  # a document farther from all pivots is in no pivot's cell for its own sake
 PIVOTS, ROUNDS = 8, 4  # document pivots a region and round; rounds before what is left is joined block by block
 
 
@@ -109,12 +112,19 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
     held = rows.withColumn("holders", F.sum("weight").over(Window.partitionBy("shingle"))).filter("holders > 1")
     held = held.select("shingle", "holders", F.explode(F.coalesce("nodes", F.array("node"))).alias("node"))
     counted = (F.col("shingle") >= 0) & (F.col("shingle") < COUNTED_BELOW)
-    mine = held.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.when(counted, F.col("holders")).otherwise(F.lit(1 << 62)).alias("holders"), "shingle"))).alias("held"), F.count_distinct(F.when(counted, F.col("shingle"))).alias("shared"))
+    last = F.lit(1 << 62)
+    mine = held.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.when(counted, F.col("holders")).otherwise(last).alias("holders"), "shingle"))).alias("held"))
+    mine = mine.withColumn("shared", F.size(F.filter("held", lambda h: h["holders"] < last)))
     sets = described.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("n_counted").alias("n_counted"))
     n = F.col("n")
     within = n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1 - F.col("n_counted") + F.col("shared")
     open_sets = mine.join(sets, "node").withColumn("within", within.cast("int")).filter("within > 0")
-    regions = stored(open_sets.select("node", F.explode(F.slice("held", F.lit(1), F.col("within"))["shingle"]).alias("shingle")), "regions")
+    return _tied(open_sets.select("node", F.explode(F.slice("held", F.lit(1), F.col("within"))["shingle"]).alias("shingle")))
+
+
+def _tied(reached: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie each node to the smallest one of each shingle it reaches; reached: node, shingle."""
+    regions = stored(reached, "regions")
     least = regions.groupBy("shingle").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return salted_join(regions, least, ["shingle"]).select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
@@ -182,48 +192,104 @@ def _join_table(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
+def _pivot_groups(packs: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+    """The pivots' sets and for each the first pivot that links tie it to."""
+    sets = [np.frombuffer(p, np.uint64) for p in packs]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            inner = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if group[i] != group[j] and DENOMINATOR * inner >= NUMERATOR * (len(sets[i]) + len(sets[j]) - inner):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return sets, group
+
+
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distances of each document to its region's pivots; the cells whose windows it falls in."""
+    """Distances of each document to its region's pivots; the cells whose windows it falls in. Linked pivots share a cell. What
+    is near to no pivot stays together in a cell of its own, as almost all of a region may be far from all pivots."""
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
+        known: dict[str, tuple[list[np.ndarray], list[int]]] = {}
         for region, node, packed, names, packs in zip(*[batch.column(c).to_pylist() for c in ("region", "node", "shingles", "pivots", "pivot_shingles")], strict=True):
             mine = np.frombuffer(packed, np.uint64)
-            distances, linked = [], []
-            for other in packs:
-                theirs = np.frombuffer(other, np.uint64)
+            if region not in known:
+                known[region] = _pivot_groups(packs)
+            nearest: dict[int, float] = {}
+            linked: set[int] = set()
+            for theirs, g in zip(*known[region], strict=True):
                 inner = len(np.intersect1d(mine, theirs, assume_unique=True))
                 union = len(mine) + len(theirs) - inner
-                distances.append(1 - inner / union)
-                linked.append(DENOMINATOR * inner >= NUMERATOR * union)
-            least = min(distances)
-            home = distances.index(least)
-            for i, (name, d) in enumerate(zip(names, distances, strict=True)):
-                if i == home or linked[i] or d <= least + 2 * RADIUS + SLACK:
-                    for column, value in zip(out, (f"{region}/{name}", node, packed, name if linked[i] else None, d, linked[i]), strict=True):
-                        column.append(value)
+                nearest[g] = min(nearest.get(g, 2.0), 1 - inner / union)
+                if DENOMINATOR * inner >= NUMERATOR * union:
+                    linked.add(g)
+            least = min(nearest.values())
+            window = min(least, NEAR - RADIUS) + 2 * RADIUS + SLACK
+            cells = [(names[g], names[g] if g in linked else None, d, g in linked) for g, d in nearest.items() if g in linked or d <= window]
+            if least > NEAR:
+                cells.append(("*", None, least, False))
+            for name, link, d, settled in cells:
+                for column, value in zip(out, (f"{region}/{name}", node, packed, link, d, settled), strict=True):
+                    column.append(value)
         kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.bool_())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["region", "node", "shingles", "link", "distance", "settled"])
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
+    for batch in batches:
+        sets = [np.frombuffer(p, np.uint64) for p in batch.column("shingles").to_pylist()]
+        size = np.asarray([len(s) for s in sets], np.int64)
+        if not size.sum():
+            continue
+        rows = pa.array(np.repeat(np.arange(len(sets)), size))
+        yield pa.record_batch([batch.column("region").take(rows), batch.column("node").take(rows), pa.array(np.repeat(size, size)), signed(np.concatenate(sets))], names=["region", "node", "n", "shingle"])
+
+
+def refined(rows: DataFrame, banded: bool = False) -> DataFrame:
+    """Regions cut by what their own members hold; rows and result: region, node, shingles.
+
+    Every shingle is counted, not a share of them, and only over the region, so that a set's reach has more that nobody else
+    holds and rarer shingles else; sets without a possible partner drop out. Banded, sets meet only with those of a size
+    that a partner may have: each is in the cell of its band and in that of the band below.
+    """
+    if banded:
+        band = F.floor(F.log(F.length("shingles") / 8.0) / F.log(F.lit(BAND))).cast("int")
+        rows = rows.withColumn("region", F.explode(F.transform(F.array(band - 1, band), lambda b: F.concat_ws("~", "region", b))))
+    postings = rows.select("region", "node", "shingles").mapInArrow(_postings, "region string, node long, n long, shingle long")
+    held = postings.withColumn("holders", F.count("*").over(Window.partitionBy("region", "shingle"))).filter("holders > 1")
+    mine = held.groupBy("region", "node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("held"))
+    within = (F.size("held") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).cast("int")
+    open_sets = mine.withColumn("within", within).filter("within > 0")
+    reached = open_sets.select("region", F.xxhash64("region", "node").alias("node"), F.explode(F.slice("held", F.lit(1), F.col("within"))["shingle"]).alias("shingle"))
+    found = components(_tied(reached.select("node", F.xxhash64("region", "shingle").alias("shingle"))))
+    named = rows.withColumn("__name", F.xxhash64("region", "node")).join(found.withColumnRenamed("node", "__name"), "__name")
+    return named.select(F.concat_ws("#", "region", "component").alias("region"), "node", "shingles")
+
+
 def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     """Links (a, b) whose components are those of all links inside each region; members: region, node, shingles (packed).
 
-    A region above the limit is cut: a few of its documents become pivots, every document goes to the cell of its nearest
-    pivot and, as a copy, to each cell whose pivot is at most two radii farther. Documents linked with a cell's pivot stay in
-    it only as far as some other document of the cell may reach them. Cells are cut again; after some rounds, what pivots cannot part is
-    joined in pairs of blocks, which finds the same links at more work.
+    A region above the limit is cut by the counts of its own members first, then by these and by sizes. In what is still
+    large a few documents become pivots, every document goes to the cell of its nearest pivot, if any is near, and, as a
+    copy, to each cell that may hold a partner of it. Documents linked with a cell's pivot stay in it only as far as some
+    other document of the cell may reach them. Cells are cut again, unless they hold more than twice the region; what pivots
+    cannot part is joined in pairs of blocks, which finds the same links at more work.
     """
-    found = []
+    found, whole = [], []
     weight = F.sum(F.length("shingles") / 8)
     open_rows = members.select(F.col("region").cast("string").alias("region"), "node", "shingles", F.lit(False).alias("settled"))
-    for _ in range(ROUNDS):
+    for step in range(2 + ROUNDS):
         sizes = open_rows.groupBy("region").agg(weight.alias("weight"))
-        large = stored(sizes.filter(F.col("weight") > limit).select("region"), "large-regions")
+        large = stored(sizes.filter(F.col("weight") > limit), "large-regions")
         if large.isEmpty():
             break
         small = open_rows.join(large, "region", "left_anti")
         found.append(small.select("region", "node", "shingles"))
         rows = open_rows.join(large, "region", "left_semi")
+        if step < 2:
+            open_rows = stored(refined(rows, banded=step == 1).withColumn("settled", F.lit(False)), "refined")
+            continue
         order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
         picked = rows.filter("NOT settled").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
         pivots = picked.groupBy("region").agg(F.collect_list("node").alias("pivots"), F.collect_list("shingles").alias("pivot_shingles"))
@@ -233,7 +299,15 @@ def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
         found.append(cells.filter("link IS NOT NULL").select(F.col("node").alias("a"), F.col("link").alias("b")))
         reach_of = cells.filter("NOT settled").groupBy("region").agg(F.min("distance").alias("nearest"))
         left = salted_join(cells, reach_of, ["region"], salts=32)
-        open_rows = stored(left.filter(~F.col("settled") | (F.col("distance") >= F.col("nearest") - RADIUS - SLACK)).select("region", "node", "shingles", "settled"), "open-cells")
+        kept = stored(left.filter(~F.col("settled") | (F.col("distance") >= F.col("nearest") - RADIUS - SLACK)).select("region", "node", "shingles", "settled"), "open-cells")
+        parent = F.regexp_extract("region", "^(.*)/[^/]*$", 1)
+        totals = kept.groupBy(parent.alias("region")).agg(weight.alias("total")).join(large, "region")
+        grown = stored(totals.filter(F.col("total") > 2 * F.col("weight")).select("region"), "grown-regions")
+        whole.append(rows.select("region", "node", "shingles").join(grown, "region", "left_semi"))
+        open_rows = kept.withColumn("__parent", parent).join(grown.withColumnRenamed("region", "__parent"), "__parent", "left_anti").drop("__parent")
+    open_rows = open_rows.select("region", "node", "shingles")
+    for part in whole:
+        open_rows = open_rows.unionByName(part)
     sizes = stored(open_rows.groupBy("region").agg(F.ceil(2 * weight / limit).cast("int").alias("blocks")), "blocks")
     rows = salted_join(open_rows, sizes, ["region"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -10,6 +10,7 @@ import textwrap
 import numpy as np
 from pyspark.sql import functions as F
 from partflow.llm import fingerprints as lz
+from partflow.llm import jaccard
 from partflow.llm.jaccard import join_region, near_duplicates
 from partflow.llm.licenses import DIGESTS, LICENSES, notices, scan_licenses
 from partflow.llm.lines import LineRuns, dedup_lines, line_entries
@@ -124,6 +125,33 @@ def test_near_duplicates_without_ids_and_with_shared_ids(spark):
         assert counted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, limit).collect()) == counted(want)
 
 
+def test_large_regions_are_parted_without_copies(spark, monkeypatch):
+    """Texts that share lines of a pool are one region, though nearly none are alike; near copies of two texts are among them."""
+    rng = random.Random(8)
+    pool = [" ".join(f"p{i}w{k}" for k in range(9)) for i in range(60)]
+    texts = [" ".join([*rng.sample(pool, 4), *(f"own{i}" for _ in range(2))]) for i in range(240)]
+    for i in range(40):
+        words = [f"base{i % 2}x{k}" for k in range(80)] + pool[i % 3].split(" ")
+        words[i % 80] = f"new{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = groups([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)])
+    least = {}
+    for i, g in enumerate(found):
+        least.setdefault(g, i)
+    rows, stored = {}, jaccard.stored
+
+    def counted_rows(df, label):
+        out = stored(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted_rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 1500).collect()}
+    assert got == {i: least[g] for i, g in enumerate(found)} and len(set(got.values())) > 200
+    assert sum(rows["members"]) > 250 and sum(rows.get("refined", [])) < 250 and sum(rows.get("cells", [])) <= 2 * 280, rows
+
+
 def test_region_join_is_exact_on_chains():
     rng, dice = np.random.default_rng(3), random.Random(4)
     for _ in range(25):
