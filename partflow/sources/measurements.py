@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from partflow.sources.catalog import ID, table_schema
 
 # Rows per Parquet file piece; text columns are wide, so their pieces are shorter.
 ROWS_PER_GROUP = {"numeric": 50_000, "date": 50_000, "categorical": 10_000}
+WHOLE_BYTES = 64 << 20  # files up to this size are read as one row
+PACKED = r"\.(gz|bz2|zst|zstd|snappy|lz4|deflate)$"  # endings of files that a text reader unpacks
 MANIFEST_SCHEMA = "name string, sha256 string"
 
 
@@ -64,11 +70,60 @@ def reconcile_rows(spark: SparkSession, csv_path: str, parquet_path: str) -> Dat
     return one.withColumn("matches", F.col("csv_rows") == F.col("parquet_rows"))
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of files whose lines arrive in order, one file after the other. The last line has its line feed or not, as the
+    size of the file says."""
+    now, size, seen, digest = None, 0, 0, hashlib.sha256()
+
+    def ended() -> pa.RecordBatch:
+        if seen == size - 1:
+            digest.update(b"\n")
+        elif seen != size:
+            raise ValueError(f"{now}: {seen} bytes were read of {size}")
+        return pa.record_batch([pa.array([now]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], names=["path", "length", "sha256"])
+
+    for batch in batches:
+        paths = batch.column("path").dictionary_encode()
+        lines, at = batch.column("line").to_pylist(), 0
+        ends = [*(np.flatnonzero(np.diff(paths.indices.to_numpy())) + 1).tolist(), len(lines)] if lines else []
+        for end in ends:
+            path = paths.dictionary[paths.indices[at].as_py()].as_py()
+            if path != now:
+                if now is not None:
+                    yield ended()
+                now, size, seen, digest = path, batch.column("size")[at].as_py(), 0, hashlib.sha256()
+                piece = b"\n".join(lines[at:end])
+            else:
+                piece = b"\n" + b"\n".join(lines[at:end])
+            digest.update(piece)
+            seen, at = seen + len(piece), end
+    if now is not None:
+        yield ended()
+
+
+def _digests(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, length, sha256) of every file. The binary reader takes a file whole, so larger ones are read as lines, by as many
+    tasks as they have blocks, and hashed as a stream in order. Of what a text reader would unpack only files below 2 GB can
+    be read."""
+    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    digest = ("path", "length", F.sha2("content", 256).alias("sha256"))
+    found = files.where(F.col("length") <= WHOLE_BYTES).select(*digest)  # asks for no content of a larger file
+    packed = files.where((F.col("length") > WHOLE_BYTES) & F.col("path").rlike(PACKED)).select("path").collect()  # a name a large file
+    if packed:
+        found = found.unionByName(spark.read.format("binaryFile").load([r.path for r in packed]).select(*digest))
+    meta = F.col("_metadata")
+    large = (meta["file_size"] > WHOLE_BYTES) & ~meta["file_path"].rlike(PACKED)
+    lines = spark.read.options(**options).option("lineSep", "\n").text(path).where(large).select(
+        F.url_decode(F.replace(meta["file_path"], F.lit("+"), F.lit("%2B"))).alias("path"), meta["file_size"].alias("size"),
+        meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    ordered = lines.repartition("path").sortWithinPartitions(F.xxhash64("path"), "path", "start", "place").select("path", "size", "line")
+    return found.unionByName(ordered.mapInArrow(_hashed, "path string, length long, sha256 string"))
+
+
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 per file. The binary reader takes one whole file per row, so files must stay below 2 GB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    """SHA-256 per file."""
+    return _digests(spark, path, glob).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "sha256")
 
 
 def table_digests(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
@@ -77,10 +132,10 @@ def table_digests(spark: SparkSession, path: str, glob: str = "*.parquet") -> Da
     A file has its own digest. A folder has that of its files' paths and digests in order, one short line a file, so the
     name of a table stays the same when it is written as several files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path.rstrip('/')}/{glob}")
+    files = _digests(spark, f"{path.rstrip('/')}/{glob}", "*.parquet")
     entry = f"^.*/{re.escape(path.rstrip('/').split('/')[-1])}/([^/]+)(/.*)?$"
     name, rest = F.regexp_extract("path", entry, 1), F.regexp_extract("path", entry, 2)
-    one = files.select(name.alias("name"), rest.alias("inside"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    one = files.select(name.alias("name"), rest.alias("inside"), F.col("length").alias("bytes"), "sha256")
     lines = F.array_sort(F.collect_list(F.concat_ws(" ", "inside", "sha256")))
     grouped = one.groupBy("name").agg(F.sum("bytes").alias("bytes"), F.max("inside").alias("inside"), F.first("sha256").alias("own"), lines.alias("lines"))
     return grouped.select("name", "bytes", F.when(F.col("inside") == "", F.col("own")).otherwise(F.sha2(F.array_join("lines", "\n"), 256)).alias("sha256"))

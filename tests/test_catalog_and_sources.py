@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import os
+import random
 
 import pytest
 
@@ -65,6 +67,26 @@ def test_audit_verdicts_match_hashlib(spark, folder):
     assert found == {"a.csv": "ok", "b.csv": "mismatch", "c.csv": "unlisted", "gone.csv": "missing"}
 
 
+def test_a_large_file_is_hashed_as_a_stream(spark, folder, monkeypatch):
+    """Files above the limit never become one row; what their blocks give makes their bytes again."""
+    rng, texts = random.Random(2), {"end.csv": b"a\nb\n", "open.csv": b"a\n\nb", "crlf.csv": b"\r\n\r\n\n", "feeds.csv": b"\n" * 5000, "one +1.csv": b"x" * 3000}
+    texts |= {f"r{i}.csv": rng.randbytes(20_000 + i) + b"\n" * (i % 3) for i in range(5)} | {"tiny.csv": b"1", "a b.csv.gz": gzip.compress(b"y" * 100)}
+    for name, text in texts.items():
+        with open(os.path.join(folder, name), "wb") as handle:
+            handle.write(text)
+    monkeypatch.setattr(ms, "WHOLE_BYTES", 3, raising=False)
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        found = ms.file_digests(spark, folder, "*.csv*")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r.name: (r.bytes, r.sha256) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    assert "LessThanOrEqual(length,3)" in plan  # no content of a larger file is asked for
+    assert got == {name: (len(text), hashlib.sha256(text).hexdigest()) for name, text in texts.items()}
+
+
 def test_a_table_of_several_files_goes_by_its_own_name(spark, folder):
     spark.range(5).coalesce(1).write.parquet(os.path.join(folder, "few.parquet"))
     spark.range(50).repartition(3).write.parquet(os.path.join(folder, "many.parquet"))
